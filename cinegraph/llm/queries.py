@@ -8,7 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cinegraph.llm.common import table
-from cinegraph.llm.quality_rules import RULES, STOP_WORDS, SYMBOLS, apply_rules
+from cinegraph.llm.html_main import extract, fit
+from cinegraph.llm.quality_rules import apply_rules
+from cinegraph.llm.source_mix import mix
+from cinegraph.llm.token_frames import tokenize_to_frames
 from cinegraph.llm.url_filter import filter_urls
 
 #: The rules of the URL contract, then the listed hosts of production.
@@ -18,6 +21,25 @@ LISTED_HOSTS = [
 ]
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op2_token_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenize_to_frames(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path()).drop("shard")
+
+
+def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).select("doc_id", "size", "source_size", "target", "taken", "copies", "rate")
+
+
+def op7_html_main(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return extract(pages, fit(pages)).select("page_id", "url", "text", "n_chars")
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = apply_rules(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return done.select("doc_id", *[F.col(f"_qr_{c}").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")])
@@ -30,7 +52,10 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_token_frames": op2_token_frames,
+    "op3_source_mix": op3_source_mix,
     "op5_quality_rules": op5_quality_rules,
+    "op7_html_main": op7_html_main,
     "op9_url_filter": op9_url_filter,
 }
 ORACLES: dict[str, str] = {}
