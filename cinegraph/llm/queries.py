@@ -9,8 +9,13 @@ from pyspark.sql import functions as F
 
 from cinegraph.llm.common import table
 from cinegraph.llm.html_main import extract, fit
+from cinegraph.llm.pii import KINDS as PII_KINDS
+from cinegraph.llm.pii import find_pii
 from cinegraph.llm.quality_rules import apply_rules
+from cinegraph.llm.secrets import KINDS as SECRET_KINDS
+from cinegraph.llm.secrets import find_secrets
 from cinegraph.llm.source_mix import mix
+from cinegraph.llm.spans import digest_text
 from cinegraph.llm.token_frames import tokenize_to_frames
 from cinegraph.llm.url_filter import filter_urls
 
@@ -40,6 +45,19 @@ def op7_html_main(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(pages, fit(pages)).select("page_id", "url", "text", "n_chars")
 
 
+def _span_digest(found: DataFrame, kinds, base: str, spans: str, by_kind: bool) -> DataFrame:
+    count = lambda k: F.size(F.filter(base, lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
+    return found.select("doc_id", *[count(k) for k in kinds], F.sha2(digest_text(F.col(base), by_kind), 256).alias("base_sha256"), digest_text(F.col(spans), by_kind).alias("spans"))
+
+
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _span_digest(find_pii(table(spark, sf_dir, "documents").select("doc_id", "text")), PII_KINDS, "_pii_base", "_pii_spans", True)
+
+
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _span_digest(find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text")), SECRET_KINDS[:3], "_sec_base", "_sec_spans", False)
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = apply_rules(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return done.select("doc_id", *[F.col(f"_qr_{c}").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")])
@@ -54,8 +72,10 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_frames": op2_token_frames,
     "op3_source_mix": op3_source_mix,
+    "op4_pii": op4_pii,
     "op5_quality_rules": op5_quality_rules,
     "op7_html_main": op7_html_main,
+    "op8_secrets": op8_secrets,
     "op9_url_filter": op9_url_filter,
 }
 ORACLES: dict[str, str] = {}
