@@ -12,6 +12,7 @@ from cinegraph.llm.html_main import extract, fit
 from cinegraph.llm.pii import KINDS as PII_KINDS
 from cinegraph.llm.pii import find_pii
 from cinegraph.llm.quality_rules import apply_rules
+from cinegraph.llm.repeated_phrases import remove_repeats
 from cinegraph.llm.secrets import KINDS as SECRET_KINDS
 from cinegraph.llm.secrets import find_secrets
 from cinegraph.llm.source_mix import mix
@@ -40,6 +41,10 @@ def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).select("doc_id", "size", "source_size", "target", "taken", "copies", "rate")
 
 
+def op6_repeated_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("kept")
+
+
 def op7_html_main(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     return extract(pages, fit(pages)).select("page_id", "url", "text", "n_chars")
@@ -74,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_source_mix": op3_source_mix,
     "op4_pii": op4_pii,
     "op5_quality_rules": op5_quality_rules,
+    "op6_repeated_phrases": op6_repeated_phrases,
     "op7_html_main": op7_html_main,
     "op8_secrets": op8_secrets,
     "op9_url_filter": op9_url_filter,
