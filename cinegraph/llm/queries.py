@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from cinegraph.llm.common import table
 from cinegraph.llm.html_main import extract, fit
+from cinegraph.llm.ngram_join import jaccard_components
 from cinegraph.llm.pii import KINDS as PII_KINDS
 from cinegraph.llm.pii import find_pii
 from cinegraph.llm.quality_rules import apply_rules
@@ -74,6 +75,10 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"), rules, blocked).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_frames": op2_token_frames,
     "op3_source_mix": op3_source_mix,
@@ -83,5 +88,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_html_main": op7_html_main,
     "op8_secrets": op8_secrets,
     "op9_url_filter": op9_url_filter,
+    "op10_ngram_join": op10_ngram_join,
 }
 ORACLES: dict[str, str] = {}
