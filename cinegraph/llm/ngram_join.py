@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cinegraph.llm.common import NULL_ID, cut, whole_text
-from cinegraph.llm.shingle_hash import gram_hashes, mix, split_words, word_hashes
+from cinegraph.llm.shingle_hash import gram_hashes, mix, word_hashes
 from cinegraph.operators.components import connected_components
 
 SHINGLE = 5
@@ -47,15 +47,13 @@ SALTS = 16
 
 def shingle_set(text: str | None, k: int = SHINGLE) -> np.ndarray:
     """Sorted distinct 64-bit hashes of a text's shingles."""
-    h = word_hashes(split_words((text or "").translate(_LOWER)))
+    # bytes.lower changes A-Z only
+    h = word_hashes((text or "").encode("utf-8", "replace").lower().split())
     if not len(h):
         return np.zeros(0, np.uint64)
     return np.unique(gram_hashes(h, min(k, len(h))) + np.uint64(len(h) < k))
 
 
-_LOWER = {i: i + 32 for i in range(65, 91)}
-
-
 def prefix_length(n: np.ndarray | int):
     return n - (PART * n + WHOLE - 1) // WHOLE + 1
 
@@ -77,8 +75,9 @@ def frequent_shingles(rows: DataFrame) -> np.ndarray:
 
     def work(batches):
         for batch in batches:
-            for t in batch.column(1).to_pylist():
-                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(t).view(np.int64))], names=["token"])
+            for at in range(0, batch.num_rows, 256):
+                sets = [shingle_set(t) for t in batch.column(1).slice(at, 256).to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64))], names=["token"])
 
     counts = some.mapInArrow(work, "token long").groupBy("token").count().where(F.col("count") >= FREQUENT).select("token")
     return np.sort(counts.toPandas()["token"].to_numpy(np.int64).view(np.uint64))
@@ -111,13 +110,18 @@ def _product_rows(sets: DataFrame) -> DataFrame:
         for batch in batches:
             seen: set[tuple[int, int]] = set()
             columns = [batch.column(i).to_pylist() for i in range(4)]
+            picked = []
             for k in sorted(range(batch.num_rows), key=columns[0].__getitem__):
-                i, n, s1, prefix = (c[k] for c in columns)
-                if n and (n, s1) not in seen:
-                    seen.add((n, s1))
-                    tokens = np.frombuffer(prefix, np.int64)
-                    full = lambda x, m=len(tokens): pa.array(np.full(m, x, np.int64))
-                    yield pa.RecordBatch.from_arrays([pa.array(tokens), full(n), full(s1), full(i)], names=["token", "n", "s1", "id"])
+                one = (columns[1][k], columns[2][k])
+                if one[0] and one not in seen:
+                    seen.add(one)
+                    picked.append(k)
+            for at in range(0, len(picked), 256):
+                some = picked[at : at + 256]
+                tokens = [np.frombuffer(columns[3][k], np.int64) for k in some]
+                lengths = [len(x) for x in tokens]
+                spread = lambda c, some=some, lengths=lengths: pa.array(np.repeat(np.array([columns[c][k] for k in some], np.int64), lengths))  # noqa: E731, B023
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens)), spread(1), spread(2), spread(0)], names=["token", "n", "s1", "id"])
 
     return sets.select("id", "n", "s1", "prefix").mapInArrow(work, "token long, n long, s1 long, id long")
 

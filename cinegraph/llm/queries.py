@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cinegraph.llm.common import table
+from cinegraph.llm.decontaminate import find_leaks
 from cinegraph.llm.html_main import extract, fit
 from cinegraph.llm.ngram_join import jaccard_components
 from cinegraph.llm.pii import KINDS as PII_KINDS
@@ -34,6 +35,11 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_leaks(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", F.round("cosine", 3).alias("cosine"), F.round("share", 4).alias("share"), "start", "end")
+
+
 def op2_token_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenize_to_frames(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path()).drop("shard")
 
@@ -80,6 +86,7 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontaminate": op1_decontaminate,
     "op2_token_frames": op2_token_frames,
     "op3_source_mix": op3_source_mix,
     "op4_pii": op4_pii,

@@ -139,13 +139,18 @@ def open_windows(rows: DataFrame, size: int, gram: int) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            ids, found = [], []
             for i, text, opened in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 words = split_words(text)
                 key, seg, first, last = segments(word_hashes(words), size, gram)
                 wanted = np.isin(key ^ (seg << np.uint64(1)), np.array(opened, np.int64).view(np.uint64))
                 phrases = {b" ".join(words[j : j + size]) for a, b in zip(first[wanted].tolist(), last[wanted].tolist(), strict=True) for j in range(a, b)}
-                if phrases:
-                    yield pa.RecordBatch.from_arrays([pa.array([i] * len(phrases), pa.int64()), pa.array([p.decode() for p in phrases])], names=["id", "phrase"])
+                found.extend(p.decode() for p in phrases)
+                ids.extend([i] * len(phrases))
+                if len(found) > 10_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(found, pa.string())], names=["id", "phrase"])
+                    ids, found = [], []
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(found, pa.string())], names=["id", "phrase"])
 
     return rows.mapInArrow(work, "id long, phrase string")
 
