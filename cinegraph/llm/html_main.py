@@ -35,7 +35,7 @@ APART = frozenset("nav header footer aside form button menu dialog script style
 APART_WORDS = re.compile(r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|banner|promo|sponsor(?:ed)?|nav|navbar|navigation|menu|breadcrumbs?|sidebar|side|footer|header|masthead|cookies?|consent|notice|popup|modal|newsletter|subscribe|share|sharing|social|related|comments?|discussion|replies|respond|widget|toolbar|pagination|pager|form|search|login|complementary|contentinfo|alert)(?:$|[\s_-])", re.I)
 #: Subtrees of these names are never left out for their class.
 MAIN = frozenset("html body main article h1".split())
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<", re.S)
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|</?[A-Za-z][^>]*(?:>|\Z)|[^<]+|<", re.S)
 ATTRIBUTE = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 HIDDEN = re.compile(r"\bhidden\b(?!\s*=)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
 
