@@ -193,6 +193,16 @@ def reachable(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("a", "na", "b", "nb").agg(F.count("*").alias("c")).where(F.col("c") + F.greatest(rest(F.col("na")), rest(F.col("nb"))) >= need)
 
 
+def _pressed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts as zstandard frames, for they are sent once for each pair."""
+    import zstandard
+
+    press = zstandard.ZstdCompressor(level=3, write_content_size=True)
+    for batch in batches:
+        texts = [press.compress(t.encode("utf-8", "replace")) for t in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.binary())], names=["id", "text"])
+
+
 def compare(rows: DataFrame, pairs: DataFrame) -> DataFrame:
     """a, b, shared, na, nb of each pair, by the whole sets. pairs: a, b, distinct.
 
@@ -202,16 +212,20 @@ def compare(rows: DataFrame, pairs: DataFrame) -> DataFrame:
     pairs = cut(pairs.select("a", "b").distinct().withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS))))
     ids = cut(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct())
     few = ids.count() <= BROADCAST_IDS
-    texts = cut(rows.join(F.broadcast(ids) if few else ids, "id").groupBy("id").agg(F.min("text").alias("text")))
+    found = rows.join(F.broadcast(ids) if few else ids, "id").groupBy("id").agg(F.min("text").alias("text"))
+    texts = cut(found.mapInArrow(_pressed, "id long, text binary"))
     centres = pairs.select("a", "salt").distinct().join(texts, F.col("a") == F.col("id")).select("a", "salt", F.lit(0).alias("member"), "id", "text")
     members = pairs.join(texts, F.col("b") == F.col("id")).select("a", "salt", F.lit(1).alias("member"), "id", "text")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        unpress = zstandard.ZstdDecompressor()
         centre, base = None, np.zeros(0, np.uint64)
         for batch in batches:
             out = []
             for a, _, member, i, text in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
-                s = shingle_set(text)
+                s = shingle_set(unpress.decompress(text).decode())
                 if not member:
                     centre, base = a, s
                 elif centre == a:
@@ -234,7 +248,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
     product = cut(multiply(sets))
     stars = product.where("kind = 1").select("token", "a", "b", "na", "nb")
     sized = lambda p: p.where(WHOLE * F.least("na", "nb") >= PART * F.greatest("na", "nb"))
-    first = reachable(product.where("kind = 0")).select("a", "b").union(stars.select("a", "b"))
+    first = reachable(product.where("kind = 0")).select("a", "b").union(stars.where("2 * least(na, nb) >= greatest(na, nb)").select("a", "b"))  # others are farther than 0.5
     compared = cut(compare(rows, first))
     classes = sets.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("id").alias("rep"))
     same = sets.where("n > 0").join(classes, ["n", "s1", "s2"]).where("id <> rep").select(F.col("rep").alias("src"), F.col("id").alias("dst"))
@@ -253,7 +267,8 @@ def second_round(stars: DataFrame, compared: DataFrame, parts: DataFrame, sized)
     """Pairs of long rows that the centres leave open, across components; None if there are none."""
     union = F.col("na") + F.col("nb") - F.col("shared")
     close = compared.select("a", "b", (WHOLE * F.col("shared") >= PART * union).alias("linked"), (2 * F.col("shared") >= union).alias("near"))
-    placed = stars.join(close, ["a", "b"]).join(parts.select(F.col("node").alias("b"), F.col("component").alias("part")), "b", "left").withColumn("part", F.coalesce("part", "b"))
+    known = stars.join(close, ["a", "b"], "left").withColumns({"linked": F.coalesce("linked", F.lit(False)), "near": F.coalesce("near", F.lit(False))})
+    placed = known.join(parts.select(F.col("node").alias("b"), F.col("component").alias("part")), "b", "left").withColumn("part", F.coalesce("part", "b"))
     placed = cut(placed.select("token", "a", "b", F.col("nb").alias("n"), "linked", "near", "part"))
     loose = placed.where(~F.col("linked"))
     if loose.isEmpty():
