@@ -190,7 +190,8 @@ def reachable(pairs: DataFrame) -> DataFrame:
     """
     rest = lambda n: n - (n - F.ceil(F.lit(PART) * n / WHOLE) + 1)
     need = F.ceil(F.lit(PART) * (F.col("na") + F.col("nb")) / (PART + WHOLE))
-    return pairs.groupBy("a", "na", "b", "nb").agg(F.count("*").alias("c")).where(F.col("c") + F.greatest(rest(F.col("na")), rest(F.col("nb"))) >= need)
+    totals = [F.count("*").alias("c")] + ([F.max("long").alias("long")] if "long" in pairs.columns else [])
+    return pairs.groupBy("a", "na", "b", "nb").agg(*totals).where(F.col("c") + F.greatest(rest(F.col("na")), rest(F.col("nb"))) >= need)
 
 
 def _pressed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -254,7 +255,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
     same = sets.where("n > 0").join(classes, ["n", "s1", "s2"]).where("id <> rep").select(F.col("rep").alias("src"), F.col("id").alias("dst"))
     links = _links(compared).select(F.col("a").alias("src"), F.col("b").alias("dst"))
     parts = connected_components(links)
-    more = second_round(stars, compared, parts, sized)
+    more = second_round(stars, product.where("kind = 0"), compared, parts, sized)
     if more is not None:
         links = links.union(_links(cut(compare(rows, more))).select(F.col("a").alias("src"), F.col("b").alias("dst")))
     found = connected_components(links.union(same))
@@ -263,7 +264,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
     )
 
 
-def second_round(stars: DataFrame, compared: DataFrame, parts: DataFrame, sized) -> DataFrame | None:
+def second_round(stars: DataFrame, short: DataFrame, compared: DataFrame, parts: DataFrame, sized) -> DataFrame | None:
     """Pairs of long rows that the centres leave open, across components; None if there are none."""
     union = F.col("na") + F.col("nb") - F.col("shared")
     close = compared.select("a", "b", (WHOLE * F.col("shared") >= PART * union).alias("linked"), (2 * F.col("shared") >= union).alias("near"))
@@ -276,4 +277,8 @@ def second_round(stars: DataFrame, compared: DataFrame, parts: DataFrame, sized)
     left = loose.select("token", F.col("b").alias("x"), F.col("n").alias("na"), F.col("part").alias("px"), F.col("near").alias("nx"))
     right = placed.select("token", F.col("b").alias("y"), F.col("n").alias("nb"), F.col("part").alias("py"), F.col("linked").alias("ly"))
     pairs = sized(left.join(right, "token").where("px <> py and ((ly and nx) or (not ly and x < y))"))
-    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    up = F.col("x") < F.col("y")
+    both = lambda p, q, name: F.when(up, F.col(p)).otherwise(F.col(q)).alias(name)
+    counted = pairs.select(both("x", "y", "a"), both("na", "nb", "na"), both("y", "x", "b"), both("nb", "na", "nb"), F.lit(1).alias("long"))
+    # a pair's prefix count is over short and long rows; rows that rule the pair out for good may be missing in it
+    return reachable(short.select("a", "na", "b", "nb", F.lit(0).alias("long")).unionByName(counted)).where("long = 1").select("a", "b")
