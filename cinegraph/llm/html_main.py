@@ -157,7 +157,7 @@ def fit_weights(pages: list[str]) -> dict[str, float]:
     total_in, total_out = sum(inside.values()) + 1, sum(outside.values()) + 1
     for name in {*inside, *outside} - set(PRIOR):
         odds = math.log(((inside[name] + 0.5) / total_in) / ((outside[name] + 0.5) / total_out))
-        weights[name] = min(-0.1, -0.5 + min(0.0, odds))
+        weights[name] = -0.05 if odds > 0 else odds - 0.5  # tags of the region cost less than the shortest paragraph gives
     return weights
 
 
