@@ -40,7 +40,7 @@ SKIP = 0x184D2A50
 ENTRY = np.dtype([("id", "<i8"), ("flags", "<u4"), ("offset", "<u8"), ("length", "<u4"), ("n", "<u4"), ("crc", "<u4")])
 TAIL = struct.Struct("<QII")  # entries, width, magic
 #: Words whose ids a worker keeps at once.
-CACHE_WORDS = 2_000_000
+CACHE_WORDS = 200_000
 
 
 #: Words of these characters only need no Unicode normalization, and fall apart as PIECES says.
