@@ -157,6 +157,9 @@ def multiply(sets: DataFrame, long_row: int = LONG_ROW) -> DataFrame:
                 if t != token:
                     finish()
                     token, row, centre, last = t, [], None, None
+                    if len(out) > 20_000:
+                        yield batch_of()
+                        out.clear()
                 if last == (n, s1):
                     continue  # the same class, under a greater id
                 last = (n, s1)
