@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cinegraph.llm import oracles
 from cinegraph.llm.common import table
 from cinegraph.llm.decontaminate import find_leaks
 from cinegraph.llm.html_main import extract, fit
@@ -97,4 +98,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_url_filter": op9_url_filter,
     "op10_ngram_join": op10_ngram_join,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op5_quality_rules": oracles.QUALITY,
+    "op6_repeated_phrases": oracles.PHRASES,
+    "op9_url_filter": oracles.url_sql(URL_RULES, LISTED_HOSTS),
+    "op10_ngram_join": oracles.SIMILAR,
+}
