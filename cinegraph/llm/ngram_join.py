@@ -12,10 +12,10 @@ are discarded; the rest are compared by their whole sets.
   prefix. The order decides speed only: any order loses no pair.
 * Equal sets are one class, with its least id as representative.
 * A row of the product with up to LONG_ROW classes gives all its pairs. A longer one gives
-  the pairs with its least class, its centre. What the centre leaves open is compared in a second round: classes at
-  a distance of at most 0.5 from the centre with those that link to it (by the triangle
-  inequality no others can link to those), and the unlinked ones among themselves. Pairs that one component
-  already holds are left out, for they change nothing.
+  the pairs with its least class, its centre. What the centres leave open is decided by a second product, of the members'
+  whole sets, one centre's rows together: members of the component that holds most of them are not compared with one another, the rest
+  with all. Members are dealt into blocks by size and hash, and a task multiplies two blocks and sends a
+  spanning forest of their links, so neither pairs nor links of a large group are written out.
 
 Null and empty texts have no shingles and link with nothing; a text of fewer than five
 words is one shingle. Null ids count as one id after all others. Rows that share an id are one node. Ties do
@@ -40,6 +40,10 @@ PART, WHOLE = 75, 100  # the similarity, as a fraction
 LONG_ROW = 48
 #: Documents of the sample that tells frequent shingles, and the count that makes one frequent.
 SAMPLE_DOCS, FREQUENT = 8_000, 12
+#: Members and shingles of a block of the second product; a block's size bounds a task's memory.
+BLOCK, BLOCK_SHINGLES = 256, 400_000
+#: Classes whose sizes differ by two bands or more cannot link; the width is above WHOLE / PART.
+BAND = 1.35
 #: At most so many document ids are broadcast to fetch texts; beyond, the join shuffles.
 BROADCAST_IDS = 2_000_000
 SALTS = 16
@@ -193,8 +197,7 @@ def reachable(pairs: DataFrame) -> DataFrame:
     """
     rest = lambda n: n - (n - F.ceil(F.lit(PART) * n / WHOLE) + 1)
     need = F.ceil(F.lit(PART) * (F.col("na") + F.col("nb")) / (PART + WHOLE))
-    totals = [F.count("*").alias("c")] + ([F.max("long").alias("long")] if "long" in pairs.columns else [])
-    return pairs.groupBy("a", "na", "b", "nb").agg(*totals).where(F.col("c") + F.greatest(rest(F.col("na")), rest(F.col("nb"))) >= need)
+    return pairs.groupBy("a", "na", "b", "nb").agg(F.count("*").alias("c")).where(F.col("c") + F.greatest(rest(F.col("na")), rest(F.col("nb"))) >= need)
 
 
 def _pressed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,6 +210,12 @@ def _pressed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.binary())], names=["id", "text"])
 
 
+def texts_of(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """id, text of the wanted ids (column id, distinct); the least text if rows share an id."""
+    few = ids.count() <= BROADCAST_IDS
+    return rows.join(F.broadcast(ids) if few else ids, "id").groupBy("id").agg(F.min("text").alias("text"))
+
+
 def compare(rows: DataFrame, pairs: DataFrame) -> DataFrame:
     """a, b, shared, na, nb of each pair, by the whole sets. pairs: a, b, distinct.
 
@@ -215,9 +224,7 @@ def compare(rows: DataFrame, pairs: DataFrame) -> DataFrame:
     """
     pairs = cut(pairs.select("a", "b").distinct().withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS))))
     ids = cut(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct())
-    few = ids.count() <= BROADCAST_IDS
-    found = rows.join(F.broadcast(ids) if few else ids, "id").groupBy("id").agg(F.min("text").alias("text"))
-    texts = cut(found.mapInArrow(_pressed, "id long, text binary"))
+    texts = cut(texts_of(rows, ids).mapInArrow(_pressed, "id long, text binary"))
     centres = pairs.select("a", "salt").distinct().join(texts, F.col("a") == F.col("id")).select("a", "salt", F.lit(0).alias("member"), "id", "text")
     members = pairs.join(texts, F.col("b") == F.col("id")).select("a", "salt", F.lit(1).alias("member"), "id", "text")
 
@@ -245,43 +252,118 @@ def _links(compared: DataFrame) -> DataFrame:
     return compared.where(WHOLE * F.col("shared") >= PART * (F.col("na") + F.col("nb") - F.col("shared")))
 
 
+def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Shared shingles of each left with each right set: the product of their incidence matrices, some columns at a time."""
+    flat = [np.concatenate(x) if x else np.zeros(0, np.uint64) for x in (left, right)]
+    common = np.intersect1d(*(np.unique(x) for x in flat), assume_unique=True)
+    total = np.zeros((len(left), len(right)), np.float32)
+    places = []
+    for side, tokens in zip((left, right), flat, strict=True):
+        row = np.repeat(np.arange(len(side)), [len(x) for x in side])
+        at = np.minimum(np.searchsorted(common, tokens), max(len(common) - 1, 0))
+        held = common[at] == tokens if len(common) else np.zeros(len(tokens), bool)
+        by = np.argsort(at[held], kind="stable")
+        places.append((row[held][by], at[held][by]))
+    for start in range(0, len(common), 4096):
+        width, parts = min(4096, len(common) - start), []
+        for side, (row, at) in zip((left, right), places, strict=True):
+            lo, hi = np.searchsorted(at, (start, start + width))
+            part = np.zeros((len(side), width), np.float32)
+            part[row[lo:hi], at[lo:hi] - start] = 1
+            parts.append(part)
+        total += parts[0] @ parts[1].T
+    return total.astype(np.int64)
+
+
+def forest(linked: np.ndarray) -> list[tuple[int, int]]:
+    """Links (row, column) that join the same rows and columns as all of them; fewer than twice the rows and the columns."""
+    owner, kept = np.full(linked.shape[1], -1), []
+    for i in range(linked.shape[0]):
+        columns = np.flatnonzero(linked[i])
+        new, old = columns[owner[columns] < 0], columns[owner[columns] >= 0]
+        others, first = np.unique(owner[old], return_index=True)
+        kept.extend((i, int(c)) for c in (*new, *old[first]))
+        owner[np.isin(owner, others)] = i
+        owner[new] = i
+    return kept
+
+
+def open_blocks(stars: DataFrame, parts: DataFrame) -> DataFrame:
+    """block, side, id: the members that the blocks of the second product hold, for centres whose members are in several components.
+
+    Side 1 is missing where a block meets itself.
+    """
+    members = stars.select("a", "b", F.col("nb").alias("n")).union(stars.select("a", "a", "na")).distinct()
+    placed = cut(members.join(parts.select(F.col("node").alias("b"), "component"), "b", "left").select("a", "b", "n", F.coalesce("component", "b").alias("part")))
+    per = placed.groupBy("a", "part").agg(F.count("*").alias("m"))
+    cores = per.groupBy("a").agg(F.max_by("part", F.struct("m", "part")).alias("core"), F.count("*").alias("k")).where("k > 1").select("a", "core")
+    dealt = placed.join(cores, "a").select("a", "b", "n", (F.col("part") == F.col("core")).alias("inner"), F.floor(F.log(F.col("n")) / F.log(F.lit(BAND))).alias("band"))
+    group = ["a", "inner", "band"]
+    counts = dealt.groupBy(*group).agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias("blocks"))
+    listed = counts.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    one = listed.where("not inner").select("a", *(F.col(c).alias(f"{c}1") for c in ("inner", "band", "i")))
+    two = listed.select("a", *(F.col(c).alias(f"{c}2") for c in ("inner", "band", "i")))
+    met = one.join(two, "a").where("abs(band1 - band2) <= 1 and (inner2 or struct(band1, i1) <= struct(band2, i2))")
+    met = met.withColumn("block", F.xxhash64("a", "band1", "i1", "inner2", "band2", "i2"))
+    sides = met.select("a", "block", F.lit(0).alias("side"), F.col("inner1").alias("inner"), F.col("band1").alias("band"), F.col("i1").alias("i")).union(
+        met.where("inner2 or band1 <> band2 or i1 <> i2").select("a", "block", F.lit(1), "inner2", "band2", "i2")
+    )
+    homes = dealt.join(counts, group).withColumn("i", F.pmod(F.xxhash64("b"), F.col("blocks")))
+    return homes.join(sides, [*group, "i"]).select("block", "side", F.col("b").alias("id"))
+
+
+def multiply_blocks(rows: DataFrame, blocks: DataFrame) -> DataFrame:
+    """src, dst: a spanning forest of the links between the two sides of each block."""
+    blocks = cut(blocks)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingle_set(t).tobytes() for t in part.column(1).to_pylist()], pa.binary())], names=["id", "shingles"])
+
+    sets = cut(texts_of(rows, blocks.select("id").distinct()).mapInArrow(pack, "id long, shingles binary"))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, ids, held = None, ([], []), ([], [])
+
+        def links() -> pa.RecordBatch:
+            other = bool(ids[1])
+            shared = overlaps(held[0], held[other])
+            sizes = [np.array([len(x) for x in held[k]], np.int64) for k in (0, other)]
+            union = sizes[0][:, None] + sizes[1][None, :] - shared
+            kept = forest((shared > 0) & (WHOLE * shared >= PART * union))
+            return pa.RecordBatch.from_arrays([pa.array([ids[0][x] for x, _ in kept], pa.int64()), pa.array([ids[other][y] for _, y in kept], pa.int64())], names=["src", "dst"])
+
+        for batch in batches:
+            for block, side, i, packed in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+                if block != now:
+                    if ids[0]:
+                        yield links()
+                    now, ids, held = block, ([], []), ([], [])
+                ids[side].append(i)
+                held[side].append(np.frombuffer(packed, np.uint64))
+        if ids[0]:
+            yield links()
+
+    sent = blocks.join(sets, "id").select("block", "side", "id", "shingles").repartition("block").sortWithinPartitions("block", "side", "id")
+    return sent.mapInArrow(work, "src long, dst long").where("src <> dst")
+
+
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """id_col, n_shingles, component_id for each row: the least id that links reach."""
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("id"), whole_text(text).alias("text"))
     sets = cut(incidence(rows, frequent_shingles(rows)))
     product = cut(multiply(sets))
     stars = product.where("kind = 1").select("token", "a", "b", "na", "nb")
-    sized = lambda p: p.where(WHOLE * F.least("na", "nb") >= PART * F.greatest("na", "nb"))
-    first = reachable(product.where("kind = 0")).select("a", "b").union(stars.where("2 * least(na, nb) >= greatest(na, nb)").select("a", "b"))  # others are farther than 0.5
+    first = reachable(product.where("kind = 0")).select("a", "b").union(stars.where(WHOLE * F.least("na", "nb") >= PART * F.greatest("na", "nb")).select("a", "b"))
     compared = cut(compare(rows, first))
     classes = sets.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("id").alias("rep"))
     same = sets.where("n > 0").join(classes, ["n", "s1", "s2"]).where("id <> rep").select(F.col("rep").alias("src"), F.col("id").alias("dst"))
     links = _links(compared).select(F.col("a").alias("src"), F.col("b").alias("dst"))
-    parts = connected_components(links)
-    more = second_round(stars, product.where("kind = 0"), compared, parts, sized)
-    if more is not None:
-        links = links.union(_links(cut(compare(rows, more))).select(F.col("a").alias("src"), F.col("b").alias("dst")))
+    if not stars.isEmpty():
+        links = links.union(cut(multiply_blocks(rows, open_blocks(stars, connected_components(links)))))
     found = connected_components(links.union(same))
     return sets.join(found, sets["id"] == found["node"], "left").select(
         F.when(sets["id"] != NULL_ID, sets["id"]).alias(id_col), F.col("n").alias("n_shingles"), F.coalesce(F.col("component"), F.when(sets["id"] != NULL_ID, sets["id"])).alias("component_id")
     )
-
-
-def second_round(stars: DataFrame, short: DataFrame, compared: DataFrame, parts: DataFrame, sized) -> DataFrame | None:
-    """Pairs of long rows that the centres leave open, across components; None if there are none."""
-    union = F.col("na") + F.col("nb") - F.col("shared")
-    close = compared.select("a", "b", (WHOLE * F.col("shared") >= PART * union).alias("linked"), (2 * F.col("shared") >= union).alias("near"))
-    known = stars.join(close, ["a", "b"], "left").withColumns({"linked": F.coalesce("linked", F.lit(False)), "near": F.coalesce("near", F.lit(False))})
-    placed = known.join(parts.select(F.col("node").alias("b"), F.col("component").alias("part")), "b", "left").withColumn("part", F.coalesce("part", "b"))
-    placed = cut(placed.select("token", "a", "b", F.col("nb").alias("n"), "linked", "near", "part"))
-    loose = placed.where(~F.col("linked"))
-    if loose.isEmpty():
-        return None
-    left = loose.select("token", F.col("b").alias("x"), F.col("n").alias("na"), F.col("part").alias("px"), F.col("near").alias("nx"))
-    right = placed.select("token", F.col("b").alias("y"), F.col("n").alias("nb"), F.col("part").alias("py"), F.col("linked").alias("ly"))
-    pairs = sized(left.join(right, "token").where("px <> py and ((ly and nx) or (not ly and x < y))"))
-    up = F.col("x") < F.col("y")
-    both = lambda p, q, name: F.when(up, F.col(p)).otherwise(F.col(q)).alias(name)
-    counted = pairs.select(both("x", "y", "a"), both("na", "nb", "na"), both("y", "x", "b"), both("nb", "na", "nb"), F.lit(1).alias("long"))
-    # a pair's prefix count is over short and long rows; rows that rule the pair out for good may be missing in it
-    return reachable(short.select("a", "na", "b", "nb", F.lit(0).alias("long")).unionByName(counted)).where("long = 1").select("a", "b")

@@ -120,6 +120,43 @@ def test_ngram_join(spark, docs, long_row):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got.itertuples()} == {i: (len(sets[i]), label[i]) for i in sets}
 
 
+def test_ngram_blocks():
+    rng = np.random.default_rng(5)
+    sets = [np.unique(rng.integers(0, 9000, 40).astype(np.uint64)) for _ in range(7)] + [np.arange(9000, dtype=np.uint64)]
+    assert ngram_join.overlaps(sets[:5], sets).tolist() == [[len(np.intersect1d(x, y)) for y in sets] for x in sets[:5]]
+    assert ngram_join.overlaps([sets[0]], [sets[0] + np.uint64(20_000)]).tolist() == [[0]]
+    for share in (0.02, 0.2, 0.9):
+        linked = rng.random((30, 40)) < share
+        kept = np.zeros_like(linked)
+        kept[tuple(np.array(ngram_join.forest(linked)).T)] = True
+        joined = lambda m: np.linalg.matrix_power((np.block([[np.eye(30), m], [m.T, np.eye(40)]]) > 0).astype(float), 70) > 0
+        assert (joined(linked) == joined(kept)).all() and kept.sum() < 140 and not (kept & ~linked).any()
+
+
+@pytest.mark.parametrize("block", [256, 4])
+def test_ngram_hot_group(spark, block):
+    """A large group of near copies that mostly do not link with its centre."""
+    rng = np.random.default_rng(3)
+    words = [f"v{i}" for i in range(60)]
+    texts = []
+    for _ in range(90):
+        w = list(words)
+        for at in rng.choice(60, rng.integers(1, 3), replace=False):
+            w[at] = f"x{rng.integers(1000)}"
+        texts.append(" ".join(w))
+    sets = [{" ".join(w[k : k + 5]) for k in range(56)} for w in (t.split() for t in texts)]
+    label = list(range(90))
+    for _ in range(6):
+        for a in range(90):
+            for b in range(90):
+                n = len(sets[a] & sets[b])
+                if 100 * n >= 75 * (len(sets[a]) + len(sets[b]) - n):
+                    label[a] = label[b] = min(label[a], label[b])
+    with mock.patch.object(ngram_join.multiply, "__defaults__", (4,)), mock.patch.object(ngram_join, "BLOCK", block):
+        got = run(spark, "op10_ngram_join", spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert {r.doc_id: r.component_id for r in got.itertuples()} == dict(enumerate(label))
+
+
 def test_token_frames(spark, docs):
     from tokenizers import Tokenizer
 
