@@ -201,7 +201,7 @@ def reachable(pairs: DataFrame) -> DataFrame:
 
 
 def _pressed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts as zstandard frames, for they are sent once for each pair."""
+    """Texts as zstandard frames, for a text is sent many times."""
     import zstandard
 
     press = zstandard.ZstdCompressor(level=3, write_content_size=True)
@@ -211,9 +211,13 @@ def _pressed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def texts_of(rows: DataFrame, ids: DataFrame) -> DataFrame:
-    """id, text of the wanted ids (column id, distinct); the least text if rows share an id."""
+    """id, text (as zstandard frame) of the wanted ids (column id, distinct); one of the texts if rows share an id.
+
+    Texts are pressed before they are sent.
+    """
     few = ids.count() <= BROADCAST_IDS
-    return rows.join(F.broadcast(ids) if few else ids, "id").groupBy("id").agg(F.min("text").alias("text"))
+    found = rows.join(F.broadcast(ids) if few else ids, "id").mapInArrow(_pressed, "id long, text binary")
+    return found.groupBy("id").agg(F.min("text").alias("text"))
 
 
 def compare(rows: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -224,7 +228,7 @@ def compare(rows: DataFrame, pairs: DataFrame) -> DataFrame:
     """
     pairs = cut(pairs.select("a", "b").distinct().withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS))))
     ids = cut(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct())
-    texts = cut(texts_of(rows, ids).mapInArrow(_pressed, "id long, text binary"))
+    texts = cut(texts_of(rows, ids))
     centres = pairs.select("a", "salt").distinct().join(texts, F.col("a") == F.col("id")).select("a", "salt", F.lit(0).alias("member"), "id", "text")
     members = pairs.join(texts, F.col("b") == F.col("id")).select("a", "salt", F.lit(1).alias("member"), "id", "text")
 
@@ -291,13 +295,15 @@ def forest(linked: np.ndarray) -> list[tuple[int, int]]:
 def open_blocks(stars: DataFrame, parts: DataFrame) -> DataFrame:
     """block, side, id: the members that the blocks of the second product hold, for centres whose members are in several components.
 
-    Side 1 is missing where a block meets itself.
+    Side 1 is missing where a block meets itself. A centre whose members fit one block has that block only.
     """
     members = stars.select("a", "b", F.col("nb").alias("n")).union(stars.select("a", "a", "na")).distinct()
     placed = cut(members.join(parts.select(F.col("node").alias("b"), "component"), "b", "left").select("a", "b", "n", F.coalesce("component", "b").alias("part")))
-    per = placed.groupBy("a", "part").agg(F.count("*").alias("m"))
-    cores = per.groupBy("a").agg(F.max_by("part", F.struct("m", "part")).alias("core"), F.count("*").alias("k")).where("k > 1").select("a", "core")
-    dealt = placed.join(cores, "a").select("a", "b", "n", (F.col("part") == F.col("core")).alias("inner"), F.floor(F.log(F.col("n")) / F.log(F.lit(BAND))).alias("band"))
+    per = placed.groupBy("a", "part").agg(F.count("*").alias("m"), F.sum("n").alias("t"))
+    small = ((F.sum("m") <= BLOCK) & (F.sum("t") <= BLOCK_SHINGLES)).alias("small")
+    cores = per.groupBy("a").agg(F.max_by("part", F.struct("m", "part")).alias("core"), F.count("*").alias("k"), small).where("k > 1").select("a", "core", "small")
+    band = F.when(F.col("small"), 0).otherwise(F.floor(F.log(F.col("n")) / F.log(F.lit(BAND)))).alias("band")
+    dealt = placed.join(cores, "a").select("a", "b", "n", (~F.col("small") & (F.col("part") == F.col("core"))).alias("inner"), band)
     group = ["a", "inner", "band"]
     counts = dealt.groupBy(*group).agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias("blocks"))
     listed = counts.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
@@ -316,15 +322,10 @@ def multiply_blocks(rows: DataFrame, blocks: DataFrame) -> DataFrame:
     """src, dst: a spanning forest of the links between the two sides of each block."""
     blocks = cut(blocks)
 
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingle_set(t).tobytes() for t in part.column(1).to_pylist()], pa.binary())], names=["id", "shingles"])
-
-    sets = cut(texts_of(rows, blocks.select("id").distinct()).mapInArrow(pack, "id long, shingles binary"))
-
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        unpress = zstandard.ZstdDecompressor()
         now, ids, held = None, ([], []), ([], [])
 
         def links() -> pa.RecordBatch:
@@ -336,17 +337,18 @@ def multiply_blocks(rows: DataFrame, blocks: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array([ids[0][x] for x, _ in kept], pa.int64()), pa.array([ids[other][y] for _, y in kept], pa.int64())], names=["src", "dst"])
 
         for batch in batches:
-            for block, side, i, packed in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+            for block, side, i, text in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
                 if block != now:
                     if ids[0]:
                         yield links()
                     now, ids, held = block, ([], []), ([], [])
                 ids[side].append(i)
-                held[side].append(np.frombuffer(packed, np.uint64))
+                held[side].append(shingle_set(unpress.decompress(text).decode()))
         if ids[0]:
             yield links()
 
-    sent = blocks.join(sets, "id").select("block", "side", "id", "shingles").repartition("block").sortWithinPartitions("block", "side", "id")
+    texts = texts_of(rows, blocks.select("id").distinct())
+    sent = blocks.join(texts, "id").select("block", "side", "id", "text").repartition("block").sortWithinPartitions("block", "side", "id")
     return sent.mapInArrow(work, "src long, dst long").where("src <> dst")
 
 
