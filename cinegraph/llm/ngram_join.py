@@ -257,9 +257,16 @@ def _links(compared: DataFrame) -> DataFrame:
 
 
 def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
-    """Shared shingles of each left with each right set: the product of their incidence matrices, some columns at a time."""
+    """Shared shingles of each left with each right set: the product of their incidence matrices, some columns at a time.
+
+    Where left is right itself, shingles of one set only are left out, so the diagonal falls short.
+    """
     flat = [np.concatenate(x) if x else np.zeros(0, np.uint64) for x in (left, right)]
-    common = np.intersect1d(*(np.unique(x) for x in flat), assume_unique=True)
+    if left is right:
+        found, times = np.unique(flat[0], return_counts=True)
+        common = found[times > 1]
+    else:
+        common = np.intersect1d(*(np.unique(x) for x in flat), assume_unique=True)
     total = np.zeros((len(left), len(right)), np.float32)
     places = []
     for side, tokens in zip((left, right), flat, strict=True):
