@@ -224,6 +224,20 @@ def test_decontamination(spark):
     assert decontaminate.lcs_length(list("abcde"), list("xaxcxe")) == 3
 
 
+def test_decontamination_of_a_large_benchmark(spark):
+    """Many items of a common vocabulary: verbatim copies and paraphrases are found as by brute force."""
+    rng = np.random.default_rng(11)
+    draw = lambda n: [f"t{int(x) % 4000}" for x in rng.zipf(1.3, n)]
+    items = [(k, " ".join(draw(int(rng.integers(25, 55))))) for k in range(1000)]
+    changed = lambda ws: [("other" if j % 9 == 4 else w) for j, w in enumerate(ws)]
+    rows = [(k, " ".join([*draw(60), *(changed(items[k][1].split()) if k % 2 else items[k][1].split()), *draw(60)])) for k in range(0, 1000, 7)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.find_leaks(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
+    wanted = {k for k, _ in rows}
+    assert len({d for d, i in got if d == i}) >= 0.98 * len(wanted)
+    assert all(decontaminate.lcs_length(items[i][1].split(), dict(rows)[d].split()) >= 0.7 * len(items[i][1].split()) for d, i in got)
+
+
 def test_empty_tables(spark, docs):
     none = docs.limit(0)
     for q in ("op4_pii", "op5_quality_rules", "op6_repeated_phrases", "op8_secrets", "op10_ngram_join", "op2_token_frames"):
