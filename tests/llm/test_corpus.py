@@ -238,6 +238,17 @@ def test_decontamination_of_a_large_benchmark(spark):
     assert all(decontaminate.lcs_length(items[i][1].split(), dict(rows)[d].split()) >= 0.7 * len(items[i][1].split()) for d, i in got)
 
 
+def test_decontamination_of_long_items(spark):
+    items = [(k, " ".join(f"q{k}z{j}" for j in range(n))) for k, n in enumerate([20, 97, 120, 137, 138, 400, 1500])]
+    noise = " ".join(f"n{j % 211}" for j in range(700))
+    rows = [(k, f"{noise} {t} {noise}") for k, t in items] + [(10 + k, f"{noise} " + " ".join("other" if j % 5 == 1 else w for j, w in enumerate(t.split()))) for k, t in items]
+    rows += [(100 + k, " ".join(t.split()[: len(t.split()) // 2]) + " " + noise) for k, t in items]
+    found = decontaminate.find_leaks(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    got = {(r["doc_id"], r["item_id"]): r["share"] for r in found.collect()}
+    assert set(got) == {(k, k) for k, _ in items} | {(10 + k, k) for k, _ in items}
+    assert all(got[k, k] == 1 for k, _ in items)
+
+
 def test_empty_tables(spark, docs):
     none = docs.limit(0)
     for q in ("op4_pii", "op5_quality_rules", "op6_repeated_phrases", "op8_secrets", "op10_ngram_join", "op2_token_frames"):
