@@ -80,15 +80,24 @@ def document_segments(docs: DataFrame, size: int, gram: int) -> DataFrame:
 def settle(rows: DataFrame) -> DataFrame:
     """id, key, seg, state of the segments that matter: FULL is removed, OPEN is to be compared.
 
-    Rows come sorted by (state, key, seg, id); the stream remembers one segment.
+    Rows come sorted by (state, key, seg, id); the stream remembers one segment. Open rows that repeat the id of
+    the row before them are one row, for chunks and batches each send a shared or null id's segment.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple[int, int, int, bool] | None = None  # key, seg, id of the key's first segment, and whether it went out
         last = None  # key, seg of the row before
+        last_id = None
         for batch in batches:
             state, key, seg, ids = (batch.column(i).to_numpy() for i in range(1, 5))
             done = state == FULL
+            fresh = np.ones(len(key), bool)
+            fresh[1:] = done[1:] | done[:-1] | (key[1:] != key[:-1]) | (seg[1:] != seg[:-1]) | (ids[1:] != ids[:-1])
+            if len(key) and last is not None and not done[0]:
+                fresh[0] = (key[0], seg[0], ids[0]) != (*last, last_id)
+            if not fresh.any():
+                continue
+            key, seg, ids, done = key[fresh], seg[fresh], ids[fresh], done[fresh]
             before_key, before_seg = np.empty_like(key), np.empty_like(seg)
             before_key[1:], before_seg[1:] = key[:-1], seg[:-1]
             usable = np.ones(len(key), bool)
@@ -121,7 +130,7 @@ def settle(rows: DataFrame) -> DataFrame:
                 h = heads[-1]
                 held = (int(key[h]), int(seg[h]), int(ids[h]), went)
             if len(key) and not done[-1]:
-                last = (key[-1], seg[-1])
+                last, last_id = (key[-1], seg[-1]), ids[-1]
             opened = np.concatenate([more, *out[2:]]) if len(out) > 2 else more
             pick = np.concatenate([out[0], out[1], opened]).astype(np.int64)
             kind = np.concatenate([np.full(len(out[0]) + len(out[1]), FULL), np.full(len(opened), OPEN)]).astype(np.int32)

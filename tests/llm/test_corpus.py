@@ -105,6 +105,30 @@ def test_repeated_phrases(spark, docs, batch):
         assert (r.n_words, r.n_removed, r.kept_sha256) == (len(w), len(gone), hashlib.sha256(kept.encode()).hexdigest()), r.doc_id
 
 
+@pytest.mark.parametrize("batch", [10_000, 1])
+def test_repeated_phrases_of_shared_ids(spark, batch):
+    """Rows that share an id, or have none, are one document: only what a smaller id holds goes."""
+    own = [" ".join(f"{c}{j}" for j in range(60)) for c in "abcdef"]
+    rows = [(None, own[0]), (None, own[0]), (7, own[1]), (7, own[1]), (7, f"{own[2]} {own[3]}"), (7, own[1]), (9, f"{own[1]} tail"), (None, f"x {own[1]}"), (3, own[2]), (4, own[4]), (4, f"y {own[4]}"), (5, own[4]), (None, own[5]), (None, f"{own[5]} z")]
+    first = {}
+    last = 2**63 - 1
+    for i, t in rows:
+        w = words(t)
+        for k in range(len(w) - 12):
+            g = tuple(w[k : k + 13])
+            first[g] = min(first.get(g, last), last if i is None else i)
+    want = []
+    for i, t in rows:
+        w = words(t)
+        gone = {j for k in range(len(w) - 12) if first[tuple(w[k : k + 13])] < (last if i is None else i) for j in range(k, k + 13)}
+        want.append((-1 if i is None else i, len(w), len(gone), hashlib.sha256(" ".join(x for j, x in enumerate(w) if j not in gone).encode()).hexdigest()))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    got = run(spark, "op6_repeated_phrases", spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    got["doc_id"] = got["doc_id"].fillna(-1).astype(int)
+    assert sorted(got[["doc_id", "n_words", "n_removed", "kept_sha256"]].itertuples(index=False, name=None)) == sorted(want)
+
+
 @pytest.mark.parametrize("long_row", [48, 2])
 def test_ngram_join(spark, docs, long_row):
     sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if (w := [x.decode() for x in " ".join(words(t)).encode().lower().split()]) else set() for i, t in ROWS}
