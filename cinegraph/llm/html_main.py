@@ -39,10 +39,18 @@ TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(
 ATTRIBUTE = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 HIDDEN = re.compile(r"\bhidden\b(?!\s*=)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
 
+#: Elements that mark the article, and those that stand between it and the rest of a page.
+MARKS = frozenset("article main".split())
+LANDMARKS = frozenset("nav header footer menu head".split())
+#: Elements of lists and tables: their parts are short, and menus of links pay for the links.
+STRUCTURE = "ul ol li dl dt dd table caption thead tbody tfoot tr td th".split()
+
 WORD_SCORE = 1.0
 #: Weights before any labelled page is seen.
-PRIOR = {"a": -3.0, "nav": -20.0, "aside": -20.0, "footer": -20.0, "form": -20.0, "article": 20.0, "main": 20.0}
+PRIOR = {"a": -3.0, "nav": -20.0, "aside": -20.0, "footer": -20.0, "form": -20.0, "article": 20.0, "main": 20.0} | dict.fromkeys(STRUCTURE, -0.25)
 DEFAULT_TAG = -1.5
+#: The labelled pages may share a template; what it has outside the article only costs no more than a link.
+LEAST_TAG = -3.0
 #: At most so many labelled pages are read to fit the weights.
 FIT_PAGES = 2000
 
@@ -83,28 +91,38 @@ def is_apart(name: str, attributes: str) -> bool:
 
 def scored(page: str, weights: dict[str, float]) -> tuple[list[float], list[tuple[str, str, bool]]]:
     """Scores of the page's tokens, and the tokens as (kind, text or name, apart)."""
-    scores, items, stack, apart = [], [], [], 0
+    scores, items, stack, apart, mains = [], [], [], 0, 0
+    marked, inside, landmark, left_out = False, False, False, []
     for kind, name, text in tokens(page):
+        was = apart > 0
         if kind == "text":
             words = len(text.split())
             scores.append(-words * WORD_SCORE if apart else words * WORD_SCORE)
-            items.append((kind, text, apart > 0))
-            continue
-        if kind == "open":
+        elif kind == "open":
             out = is_apart(name, text)
             if name not in VOID and not text.endswith("/"):
+                if out and not apart:
+                    inside, landmark = mains > 0, name in LANDMARKS
                 stack.append((name, out))
                 apart += out
+                mains += name in MARKS
+                marked |= name in MARKS and not apart
             scores.append(weights.get(name, DEFAULT_TAG))
         else:
             if any(x == name for x, _ in stack):  # close what was left open inside, as a parser does
                 while True:
                     x, out = stack.pop()
                     apart -= out
+                    mains -= x in MARKS
                     if x == name:
                         break
             scores.append(-abs(weights.get(name, DEFAULT_TAG)))
-        items.append((kind, name, apart > 0))
+        items.append((kind, text if kind == "text" else name, apart > 0))
+        if (was or apart) and not (kind == "close" and name in MARKS and not apart):
+            left_out.append((len(scores) - 1, inside, landmark))
+    for k, within, barrier in left_out:  # what is left out of a region does not split it
+        if within or not (marked or barrier):
+            scores[k] = 0.0
     return scores, items
 
 
@@ -157,7 +175,7 @@ def fit_weights(pages: list[str]) -> dict[str, float]:
     total_in, total_out = sum(inside.values()) + 1, sum(outside.values()) + 1
     for name in {*inside, *outside} - set(PRIOR):
         odds = math.log(((inside[name] + 0.5) / total_in) / ((outside[name] + 0.5) / total_out))
-        weights[name] = -0.05 if odds > 0 else odds - 0.5  # tags of the region cost less than the shortest paragraph gives
+        weights[name] = -0.05 if odds > 0 else max(LEAST_TAG, odds - 0.5)  # tags of the region cost less than the shortest paragraph gives
     return weights
 
 

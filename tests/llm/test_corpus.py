@@ -221,6 +221,20 @@ def test_html_main():
     assert html_main.best_region([-1, 2, -1, 2, -5, 3]) == (1, 4)
 
 
+@pytest.mark.parametrize("wrap", ["article", "main", "div"])
+def test_html_main_with_inner_asides_and_lists(wrap):
+    text = lambda c, n: " ".join(f"{c}{j}" for j in range(n))
+    template = f"<html><body><nav><ul>{'<li><a href=x>go</a></li>' * 30}</ul></nav><article><h1>Top</h1>{'<p>' + text('s', 50) + '</p>'}</article><footer><div>x</div></footer></body></html>"
+    weights = html_main.fit_weights([template] * 500)
+    for inner in (f"<aside><p>{text('x', 30)}</p></aside>", f'<div class="ad"><p>{text("x", 60)}</p></div>', f"<form>{text('x', 80)}</form>", f'<p class="notice">{text("x", 50)}</p>' * 4):
+        page = f"<html><body><nav><a>menu</a></nav><{wrap}><h1>Head line</h1><p>{text('l', 30)}</p>{inner}<p>{text('b', 300)}</p>{inner}<p>{text('e', 12)}</p></{wrap}><footer>foot</footer></body></html>"
+        assert html_main.main_text(page, weights) == f"Head line {text('l', 30)} {text('b', 300)} {text('e', 12)}"
+    parts = "".join(f"<li>i{j} one</li>" for j in range(40))
+    table = "".join(f"<tr><td>c{j}</td><td>d{j}</td></tr>" for j in range(20))
+    page = f"<html><body><nav><ul><li><a>menu</a></li></ul></nav><{wrap}><h1>Head</h1><p>{text('l', 15)}</p><ul>{parts}</ul><p>{text('b', 60)}</p><table>{table}</table></{wrap}><footer>foot</footer></body></html>"
+    assert html_main.main_text(page, weights) == " ".join(["Head", text("l", 15), *(f"i{j} one" for j in range(40)), text("b", 60), *(f"c{j} d{j}" for j in range(20))])
+
+
 def test_url_filter(spark):
     urls = ["https://A.Example.org/es/1", "http://example.org/en/12?x", "http://example.org/en/2", "https://com/fr/", "http://x.com/de/#a", "http://spam-farm.example.net/q", "http://notorg/", None, "", "nothing", "http://org", "http://org/"]
     pages = spark.createDataFrame([(i, u) for i, u in enumerate(urls + urls[:1])], "page_id long, url string")
