@@ -293,6 +293,21 @@ def test_empty_tables(spark, docs):
         assert len(run(spark, q, none)) == 0, q
 
 
+def test_pipeline_near_copies_of_null_and_shared_ids(spark):
+    import corpus_pipeline
+
+    own = {c: " ".join(f"{c}{j}" for j in range(50)) for c in "abcdefg"}
+    near = lambda c: own[c].replace(f"{c}25", "other")
+    rows = [(5, own["a"]), (9, own["b"]), (None, own["a"]), (None, near("b"))]  # null ids link no groups
+    rows += [(20, own["c"]), (20, own["d"]), (21, near("c")), (22, near("d"))]  # each text of a shared id has its links
+    rows += [(30, near("e")), (31, own["e"]), (31, own["f"]), (32, own["g"]), (32, own["g"]), (33, None), (33, ""), (None, None)]
+    out = corpus_pipeline.near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
+    got = [(r["doc_id"], r["text"]) for r in out.collect()]
+    gone = {(21, near("c")), (22, near("d")), (31, own["e"])}
+    key = lambda r: (r[0] is None, r[0] or 0, r[1] or "")
+    assert sorted(got, key=key) == sorted([r for r in rows if r not in gone], key=key)
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
