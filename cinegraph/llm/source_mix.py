@@ -5,7 +5,8 @@ size; the excess goes to the others by weight. Rates: each document is taken
 rate times, and the rates are the ones closest in entropy to the even rate
 that meet each source's target. Their dual is convex with one unknown a
 source: rate = cap * sigmoid(prior + lambda), which is an exponential tilt kept
-under the cap. Newton steps on sums over the documents find lambda. Rounding:
+under the cap. Newton steps on sums over the documents find lambda; without priors the rates of a source
+are all alike, target by size, and no step is needed. Rounding:
 documents of one source and size form a class; classes are taken from the
 longest down, each passing its rounding error on to the next, so that a source
 ends within a few words of its target. Inside a class the copies are dealt
@@ -27,7 +28,8 @@ from cinegraph.llm.common import cut
 CAP = 2
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
-NEWTON_STEPS = 4
+#: Steps after which something must be wrong; a target is met when the rates' sum is that near to it.
+NEWTON_STEPS, TOLERANCE = 100, 1e-9
 #: Hash buckets of a class for dealing copies; more than a class's share of the tasks needs.
 BUCKETS = 512
 
@@ -62,26 +64,32 @@ def targets_of(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: flo
     return full.select("skey", "source_size", F.least("_cap", F.coalesce(level * F.col("_w"), F.col("_cap"))).alias("target"))
 
 
-def balance(classes: DataFrame, targets: DataFrame, cap: float = CAP, steps: int = NEWTON_STEPS) -> DataFrame:
-    """lambda of each source: Newton steps on the dual, each one sum over (skey, prior, tokens).
+def balance(classes: DataFrame, targets: DataFrame, cap: float = CAP, most: int = NEWTON_STEPS) -> DataFrame:
+    """lambda of each source: Newton steps on the dual, each one sum over (skey, prior, tokens), until every target is met.
 
-    The start is the solution for even priors. A step is held to 2 in size, which
-    keeps it in the region where it converges; targets of nothing or of the whole
-    cap need no step.
+    The start is the solution for even priors; without priors it is the answer and no step is taken. The least and the
+    greatest prior of a source bound its lambda; a step beyond the bounds, which each sum narrows, is replaced by their
+    middle. Targets of nothing or of the whole cap need no step.
     """
     even = F.col("target") / (F.col("source_size") * float(cap) - F.col("target"))
     inside = (F.col("target") > 0) & (F.col("target") < F.col("source_size") * float(cap))
-    lam = targets.withColumn("lam", F.when(inside, F.log(F.when(inside, even).otherwise(1.0))).otherwise(0.0))
-    for k in range(steps):
+    span = classes.where("tokens > 0").groupBy("skey").agg(F.min("prior").alias("_least"), F.max("prior").alias("_most"))
+    start = targets.join(span, "skey", "left").withColumn("lam", F.when(inside, F.log(F.when(inside, even).otherwise(1.0))).otherwise(0.0))
+    columns = ["skey", "source_size", "target", "lam", "low", "high"]
+    lam = cut(start.withColumn("low", F.col("lam") - F.coalesce("_most", F.lit(0.0))).withColumn("high", F.col("lam") - F.coalesce("_least", F.lit(0.0))).select(*columns))
+    for _ in range(most):
         rate = F.lit(float(cap)) / (1 + F.exp(-(F.col("prior") + F.col("lam"))))
         sums = classes.join(lam.select("skey", "lam"), "skey").groupBy("skey").agg(
             F.sum(F.col("tokens") * rate).alias("got"), F.sum(F.col("tokens") * rate * (1 - rate / float(cap))).alias("slope")
         )
-        step = F.when(inside & (F.col("slope") > 0), F.greatest(F.lit(-2.0), F.least(F.lit(2.0), (F.col("target") - F.col("got")) / F.col("slope")))).otherwise(0.0)
-        lam = lam.join(sums, "skey", "left").select("skey", "source_size", "target", (F.col("lam") + step).alias("lam"))
-        if k % 4 == 3:
-            lam = cut(lam)
-    return lam
+        now = cut(lam.join(sums, "skey", "left").withColumn("miss", F.when(inside, F.col("target") - F.col("got")).otherwise(0.0)))
+        if now.where(F.abs("miss") > TOLERANCE * F.col("target")).isEmpty():
+            return now.select("skey", "source_size", "target", "lam")
+        low, high = F.when(F.col("miss") > 0, F.col("lam")).otherwise(F.col("low")), F.when(F.col("miss") < 0, F.col("lam")).otherwise(F.col("high"))
+        moved = now.withColumn("low", low).withColumn("high", high).withColumn("_to", F.col("lam") + F.when(F.col("slope") > 0, F.col("miss") / F.col("slope")))
+        held = F.when((F.col("_to") >= F.col("low")) & (F.col("_to") <= F.col("high")), F.col("_to")).otherwise((F.col("low") + F.col("high")) / 2)
+        lam = moved.withColumn("lam", F.when(F.col("miss") == 0, F.col("lam")).otherwise(held)).select(*columns)
+    raise RuntimeError("the rates did not settle")
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", weights=WEIGHTS, share: float = SHARE, cap: int = CAP, prior: Column | None = None) -> DataFrame:

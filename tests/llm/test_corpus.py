@@ -221,6 +221,17 @@ def test_html_main():
     assert html_main.best_region([-1, 2, -1, 2, -5, 3]) == (1, 4)
 
 
+def test_source_mix_with_a_prior(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(i, "w " * (1 + i * 7 % 23), "abc"[i % 3], [14.0, -9.0, None][i // 3 % 3] if i % 3 else 14.0) for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, p double")
+    got = source_mix.mix(df, prior=F.col("p")).toPandas()
+    by = got.assign(source=got.doc_id % 3, wish=got.rate * got["size"]).groupby("source").agg(t=("target", "first"), k=("taken", "sum"), wish=("wish", "sum"))
+    assert ((by.k - by.t).abs() <= 25).all() and ((by.wish - by.t).abs() < 1e-3).all()
+    assert got[got.doc_id % 3 == 1].rate.nunique() == 3
+
+
 @pytest.mark.parametrize("wrap", ["article", "main", "div"])
 def test_html_main_with_inner_asides_and_lists(wrap):
     text = lambda c, n: " ".join(f"{c}{j}" for j in range(n))
