@@ -68,7 +68,7 @@ STAGES = [
     ("token frames", token_frames),
 ]
 
-#: The stages solve a dual, compare whole sets and encode with a tokenizer, which SQL cannot; tests compare them with brute force.
+#: The stages solve a dual, compare whole sets and encode with a tokenizer, which SQL cannot. Tests compare operators, and stage 2 on null and shared ids, with brute force or known rows; no test compares all of run() so.
 ORACLE_SQL = None
 
 
