@@ -26,6 +26,7 @@ import zlib
 from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from urllib.parse import unquote, urlparse
 
 import numpy as np
 import pyarrow as pa
@@ -33,19 +34,23 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cinegraph.llm.common import cut, scratch_path, whole_text
+from cinegraph.llm.word_index import index_words, portions
 
 END_ID = 1
 MAGIC = 0x43464D53
 SKIP = 0x184D2A50
 ENTRY = np.dtype([("id", "<i8"), ("flags", "<u4"), ("offset", "<u8"), ("length", "<u4"), ("n", "<u4"), ("crc", "<u4")])
 TAIL = struct.Struct("<QII")  # entries, width, magic
-#: Words whose ids a worker keeps at once.
-CACHE_WORDS = 200_000
-
+#: Input bytes (by the planner) that one shard should hold at most; from UNKNOWN_SIZE on the planner has no figure.
+SHARD_BYTES, UNKNOWN_SIZE = 128 << 20, 1 << 50
+#: Words, and pieces of words, whose ids a worker keeps at once.
+CACHE_WORDS = 150_000
 
 #: Words of these characters only need no Unicode normalization, and fall apart as PIECES says.
 PLAIN = re.compile(r"[a-zA-Z0-9À-ÖØ-öø-ÿ!\"#$%&()*+,\-./:;<=>?@\[\\\]^_`{|}~]+")
-PIECES = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
+PIECES = re.compile(r"\n|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ\n]+")
+#: A tokenizer's words that show whether PIECES splits as it does: case, accents, digits, signs and their mixtures.
+PROBES = ("The", "ÉCOLE", "été", "Straße", "a1b22c", "x'y", "don't", "end...", "%%%", "3.14", "foo-bar_baz", "A,b", "e-mail@host.org", "¿qué?", "ÿØæ", "``", "$5", "1990s")
 
 
 def byte_letters() -> dict[int, str]:
@@ -56,11 +61,12 @@ def byte_letters() -> dict[int, str]:
 
 
 class WordEncoder:
-    """Encodes texts with a tokenizer of the tokenizers library, word by word through a cache.
+    """Encodes texts with a tokenizer of the tokenizers library, each distinct word of a batch once.
 
     The vocabulary drops white space and never joins over it, so a text's ids
     are its words' ids in order. Plain words go to the library's model piece by
-    piece; any other word goes through its whole pipeline.
+    piece, if PROBES show that the tokenizer falls apart so; any other word, and any word of another tokenizer, goes
+    through its whole pipeline. A tokenizer that keeps or joins white space is refused.
     """
 
     def __init__(self, path: str):
@@ -69,38 +75,78 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
-        self.letters = byte_letters()
-        self.ids: dict[bytes, bytes] = {}
+        self.letters = byte_letters() | {0: "\0", 10: "\n"}
+        self.ids: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
-
-    def _piece(self, piece: str) -> bytes:
-        found = self.pieces.get(piece)
-        if found is None:
-            mapped = piece.encode().decode("latin-1").translate(self.letters)
-            found = self.pieces[piece] = array("I", [t.id for t in self.model.tokenize(mapped)]).tobytes()
-        return found
-
-    def _learn(self, word: bytes) -> bytes:
-        text = word.decode()
-        if PLAIN.fullmatch(text) and "<|" not in text:
-            found = b"".join([self._piece(p) for p in PIECES.findall(text.lower())])
-        else:
-            found = array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
-        self.ids[word] = found
-        return found
-
-    def text(self, text: str) -> bytes:
-        """Ids as unsigned 32-bit integers in the machine's (little-endian) order."""
-        raw = text.encode("utf-8", "replace")
-        # ASCII letters are lower-cased first, as the tokenizer would; not where its special tokens could arise by it
-        words = (raw if b"<|" in raw else raw.lower()).split()
+        whole = [self.whole(w) for w in PROBES]
+        if self.whole(" ".join(PROBES)) != b"".join(whole) or self.whole(" \t\n" + PROBES[0] + "\r\n ") != whole[0]:
+            raise ValueError(f"{path}: this tokenizer does not treat words one by one")
+        try:
+            plain = [w for w in PROBES if PLAIN.fullmatch(w)]
+            self.by_pieces = self._bulk(plain) == [x for w, x in zip(PROBES, whole, strict=True) if w in plain]
+        except Exception:  # noqa: BLE001 - a model of another kind may refuse the pieces
+            self.by_pieces = False
+
+    def whole(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _bulk(self, words: list[str]) -> list[bytes]:
+        """Ids of plain words, all cut by one call."""
+        parts = PIECES.findall("\n".join(words).lower())
+        mapped = "\0".join(parts).encode().decode("latin-1").translate(self.letters).split("\0")
+        known = self.pieces
+        if len(known) > CACHE_WORDS:
+            known.clear()
+        out, now, tokenize = [], [], self.model.tokenize
+        for p in mapped:
+            if p == "\n":
+                out.append(now[0] if len(now) == 1 else b"".join(now))
+                now = []
+                continue
+            found = known.get(p)
+            if found is None:
+                found = known[p] = array("I", [t.id for t in tokenize(p)]).tobytes()
+            now.append(found)
+        out.append(b"".join(now))
+        return out
+
+    def _learn(self, words: list[str]) -> list[bytes]:
+        plain = [w for w in words if PLAIN.fullmatch(w) and "<|" not in w] if self.by_pieces else []
+        found = dict(zip(plain, self._bulk(plain), strict=True)) if plain else {}
+        return [found[w] if w in found else self.whole(w) for w in words]
+
+    def _ids_of(self, words: list[str]) -> list[bytes]:
+        """Known words are taken from the cache of now, or of before it was last full."""
         found = list(map(self.ids.get, words))
-        if None in found:
+        missing = [k for k, x in enumerate(found) if x is None]
+        if missing:
             if len(self.ids) > CACHE_WORDS:
-                self.ids.clear()
-                self.pieces.clear()
-            found = [x if x is not None else self.ids.get(w) or self._learn(w) for x, w in zip(found, words, strict=True)]
-        return b"".join(found)
+                self.old, self.ids = self.ids, {}
+            unknown = []
+            for k in missing:
+                x = found[k] = self.old.get(words[k])
+                if x is None:
+                    unknown.append(k)
+                else:
+                    self.ids[words[k]] = x
+            if unknown:
+                for k, x in zip(unknown, self._learn([words[k] for k in unknown]), strict=True):
+                    found[k] = self.ids[words[k]] = x
+        return found
+
+    def texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids as unsigned 32-bit integers, and where each text starts in them."""
+        split = index_words(texts)
+        found = self._ids_of(split.words)
+        flat = np.frombuffer(b"".join(found), np.uint32)
+        length = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        begin = np.cumsum(length) - length
+        n = length[split.index]
+        ends = np.cumsum(n)
+        at = np.repeat(begin[split.index] - (ends - n), n)
+        at += np.arange(len(at))
+        return flat[at], np.concatenate([[0], ends])[split.offsets]
 
 
 @lru_cache(maxsize=2)
@@ -121,9 +167,9 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, bounds: list[int], vo
         cuts = np.array(bounds, np.int64)
         coder = encoder(tokenizer_path)
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                rows = batch.slice(at, 1024)
-                raw = [coder.text(t) + end for t in rows.column(1).to_pylist()]
+            for rows in portions(batch, 1):
+                flat, cut_at = coder.texts(rows.column(1))
+                raw = [flat[a:b].astype("<u4").tobytes() + end for a, b in zip(cut_at[:-1].tolist(), cut_at[1:].tolist(), strict=True)]
                 frames = [press.compress(np.frombuffer(x, "<u4").astype(f"<u{width}").tobytes()) for x in raw]
                 ids = rows.column(0)
                 where = np.searchsorted(cuts, ids.fill_null(-(2**63)).to_numpy(zero_copy_only=False), side="right")
@@ -143,10 +189,15 @@ def range_bounds(docs: DataFrame, id_col: str, shards: int) -> list[int]:
     return sorted(set(found or []))
 
 
+def shards_for(docs: DataFrame) -> int:
+    """The session's partitions, or more if the plan's size says that shards would be above SHARD_BYTES of input."""
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))  # the planner's figure; no job
+    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARD_BYTES) if size < UNKNOWN_SIZE else 0)
+
+
 def write_frames(docs: DataFrame, path: str, tokenizer_path: str, id_col: str = "doc_id", text: str = "text", end_id: int = END_ID, vocab_below: int = 1 << 16, shards: int | None = None) -> None:
     """Writes the documents in ascending order of id to shards under path."""
-    spark = docs.sparkSession
-    bounds = range_bounds(docs, id_col, shards or int(spark.conf.get("spark.sql.shuffle.partitions")))
+    bounds = range_bounds(docs, id_col, shards or shards_for(docs))
     width = 2 if vocab_below <= 1 << 16 else 4
     encoded = encode_documents(docs, tokenizer_path, bounds, vocab_below, id_col, text, end_id)
     ordered = encoded.repartitionById(len(bounds) + 1, F.col("part")).sortWithinPartitions(F.col("id").asc_nulls_first(), "crc", "n")
@@ -180,38 +231,71 @@ def read_table(content: bytes) -> tuple[np.ndarray, int]:
     return np.frombuffer(content, ENTRY, n, len(content) - 1 - TAIL.size - n * ENTRY.itemsize), width
 
 
-def read_frames(content: bytes, table: np.ndarray, width: int, picks: Iterable[int]) -> Iterator[tuple[int, np.ndarray]]:
-    """(index, ids) of the picked entries; only their frames are decompressed and compared with their checksums."""
+def decode_frame(frame: bytes | memoryview, entry: np.void, width: int) -> np.ndarray:
+    """Ids of a document's frame, compared with the checksum of its entry."""
     import zstandard
 
-    press = zstandard.ZstdDecompressor()
+    ids = np.frombuffer(zstandard.ZstdDecompressor().decompress(frame), f"<u{width}").astype("<u4")
+    if zlib.crc32(ids.tobytes()) != entry["crc"] or len(ids) != entry["n"]:
+        raise ValueError(f"the frame of document {entry['id']} is damaged")
+    return ids
+
+
+def read_frames(content: bytes, table: np.ndarray, width: int, picks: Iterable[int]) -> Iterator[tuple[int, np.ndarray]]:
+    """(index, ids) of the picked entries; only their frames are decompressed."""
     view = memoryview(content)
     for k in picks:
         e = table[k]
-        ids = np.frombuffer(press.decompress(view[int(e["offset"]) : int(e["offset"]) + int(e["length"])]), f"<u{width}").astype("<u4")
-        if zlib.crc32(ids.tobytes()) != e["crc"] or len(ids) != e["n"]:
-            raise ValueError(f"frame {k} is damaged")
-        yield k, ids
+        yield k, decode_frame(view[int(e["offset"]) : int(e["offset"]) + int(e["length"])], e, width)
 
 
 def shard_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(path).where("length > 0").select("path", "content")
 
 
+def read_local(path: str, wanted: np.ndarray) -> Iterator[tuple[np.void, int, np.ndarray]]:
+    """(entry, place, ids) of the wanted documents of a shard that the worker can open: its end, its seek table and their frames are read, nothing else."""
+    with open(path, "rb") as f:
+        size = f.seek(0, os.SEEK_END)
+        f.seek(size - 1 - TAIL.size)
+        n = TAIL.unpack(f.read(TAIL.size))[0]
+        f.seek(size - 1 - TAIL.size - n * ENTRY.itemsize)
+        table, width = read_table(f.read())
+        for k in np.flatnonzero(np.isin(table["id"], wanted) & (table["flags"] == 0)).tolist():
+            f.seek(int(table[k]["offset"]))
+            yield table[k], k, decode_frame(f.read(int(table[k]["length"])), table[k], width)
+
+
 def read_documents(spark: SparkSession, path: str, doc_ids: list[int] | None = None) -> DataFrame:
-    """doc_id, ids (array of long), shard, place for the wanted documents, or for all."""
+    """doc_id, ids (array of long), shard, place for the wanted documents, or for all.
+
+    Shards that a worker can open itself (file: paths) are read by ranges: the seek table, then the wanted frames. Other stores
+    are read by Spark's binary source, which fetches whole shards; only the wanted frames are decompressed then too.
+    """
     wanted = None if doc_ids is None else np.array(sorted(doc_ids), np.int64)
+    schema = "doc_id long, ids array<long>, shard string, place long"
+
+    def row(e, k, ids, p) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([None if e["flags"] else int(e["id"])], pa.int64()), pa.array([ids.astype(np.int64).tolist()], pa.list_(pa.int64())), pa.array([p]), pa.array([int(k)], pa.int64())], names=["doc_id", "ids", "shard", "place"])
+
+    def by_range(batches):
+        for batch in batches:
+            for p in batch.column(0).to_pylist():
+                for e, k, ids in read_local(unquote(urlparse(p).path), wanted):
+                    yield row(e, k, ids, p)
 
-    def read(batches):
+    def whole(batches):
         for batch in batches:
             for p, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 table, width = read_table(content)
                 picks = np.arange(len(table)) if wanted is None else np.flatnonzero(np.isin(table["id"], wanted) & (table["flags"] == 0))
                 for k, ids in read_frames(content, table, width, picks):
-                    e = table[k]
-                    yield pa.RecordBatch.from_arrays([pa.array([None if e["flags"] else int(e["id"])], pa.int64()), pa.array([ids.astype(np.int64).tolist()], pa.list_(pa.int64())), pa.array([p]), pa.array([int(k)], pa.int64())], names=["doc_id", "ids", "shard", "place"])
+                    yield row(table[k], k, ids, p)
 
-    return shard_files(spark, path).mapInArrow(read, "doc_id long, ids array<long>, shard string, place long")
+    shards = shard_files(spark, path)
+    if wanted is not None and urlparse(path).scheme in ("", "file"):
+        return shards.select("path").mapInArrow(by_range, schema)  # the content column is not read
+    return shards.mapInArrow(whole, schema)
 
 
 def read_digests(spark: SparkSession, path: str) -> DataFrame:
@@ -232,7 +316,8 @@ def read_digests(spark: SparkSession, path: str) -> DataFrame:
 
     found = cut(shard_files(spark, path).mapInArrow(digest, "doc_id long, shard string, inside long, n_tokens long, ids_crc32 long"))
     totals = found.groupBy("shard").agg(F.sum("n_tokens").alias("n"))
-    before = totals.select("shard", (F.sum("n").over(Window.orderBy("shard")) - F.col("n")).alias("before"))
+    in_order = Window.orderBy(F.length("shard"), "shard")  # part numbers have five digits or more
+    before = totals.select("shard", (F.sum("n").over(in_order) - F.col("n")).alias("before"))
     return found.join(before, "shard").select("doc_id", (F.col("before") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32", "shard")
 
 

@@ -7,6 +7,7 @@ import zlib
 from unittest import mock
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from cinegraph.llm import decontaminate, html_main, ngram_join, queries, repeated_phrases, source_mix, token_frames, url_filter
@@ -195,10 +196,37 @@ def test_token_frames(spark, docs):
     assert {r["doc_id"]: len(r["ids"]) for r in token_frames.read_documents(spark, path, [3, 13]).collect()} == {3: len(t.encode(TEXTS[3], add_special_tokens=False).ids) + 1, 13: len(t.encode(TEXTS[13], add_special_tokens=False).ids) + 1}
 
 
-def test_word_encoder_equals_library():
+@pytest.mark.parametrize("cache", [150_000, 7])
+def test_word_encoder_equals_library(cache):
     e = token_frames.WordEncoder(queries.tokenizer_path())
-    for text in ["it's I'LL <|ENDOFTEXT|> a<|endoftext|>b İstanbul ΣΑΣ É é ² ª 中文,字 🎉 3.14 x\x1cy '' <|", *[t for t in TEXTS if t]]:
-        assert np.frombuffer(e.text(text), "<u4").tolist() == e.tokenizer.encode(text, add_special_tokens=False).ids
+    assert e.by_pieces
+    texts = ["it's I'LL <|ENDOFTEXT|> a<|endoftext|>b İstanbul ΣΑΣ É é ² ª 中文,字 🎉 3.14 x\x1cy '' <|", None, "", *TEXTS, *[t for t in TEXTS if t]]
+    with mock.patch.object(token_frames, "CACHE_WORDS", cache):
+        for part in (texts, texts[::-1], texts[:1]):
+            flat, at = e.texts(pa.array(part, pa.string()))
+            for t, a, b in zip(part, at[:-1], at[1:], strict=True):
+                assert flat[a:b].tolist() == e.tokenizer.encode(t or "", add_special_tokens=False).ids
+
+
+def test_token_frames_refuse_a_tokenizer_that_joins_words():
+    import public_tokenizers
+
+    with pytest.raises(ValueError, match="one by one"):
+        token_frames.WordEncoder(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def test_token_frames_shards_by_number_and_damage(spark, docs, tmp_path):
+    assert token_frames.shards_for(docs) >= 8
+    path = str(tmp_path / "frames")
+    token_frames.write_frames(docs, path, queries.tokenizer_path(), shards=2)
+    shard = next(p for p in sorted((tmp_path / "frames").glob("*.txt")) if p.stat().st_size)
+    table, width = token_frames.read_table(shard.read_bytes())
+    reads = list(token_frames.read_local(str(shard), table["id"]))
+    assert [int(e["id"]) for e, _, _ in reads] == table["id"].tolist() and width == 2
+    broken = bytearray(shard.read_bytes())
+    broken[int(table[0]["offset"]) + int(table[0]["length"]) - 1] ^= 1
+    with pytest.raises(Exception):  # noqa: B017 - the frame's own checksum or ours
+        list(token_frames.read_frames(bytes(broken), table, width, [0]))
 
 
 def test_source_mix(spark):
