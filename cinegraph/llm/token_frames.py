@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cinegraph.llm.common import cut, scratch_path, whole_text
+from cinegraph.llm.common import cut, scratch_path, small_batches, whole_text
 from cinegraph.llm.word_index import index_words, portions
 
 END_ID = 1
@@ -43,8 +43,10 @@ ENTRY = np.dtype([("id", "<i8"), ("flags", "<u4"), ("offset", "<u8"), ("length",
 TAIL = struct.Struct("<QII")  # entries, width, magic
 #: Input bytes (by the planner) that one shard should hold at most; from UNKNOWN_SIZE on the planner has no figure.
 SHARD_BYTES, UNKNOWN_SIZE = 128 << 20, 1 << 50
-#: Words, and pieces of words, whose ids a worker keeps at once.
-CACHE_WORDS = 150_000
+#: From so many kept words, or pieces of words, on a worker keeps no more: the first that it meets hold the frequent ones.
+CACHE_WORDS = 60_000
+#: Ends a word among ids, all of which have a zero as their highest byte.
+MARK = b"\xff" * 4
 
 #: Words of these characters only need no Unicode normalization, and fall apart as PIECES says.
 PLAIN = re.compile(r"[a-zA-Z0-9À-ÖØ-öø-ÿ!\"#$%&()*+,\-./:;<=>?@\[\\\]^_`{|}~]+")
@@ -77,7 +79,6 @@ class WordEncoder:
         self.model = self.tokenizer.model
         self.letters = byte_letters() | {0: "\0", 10: "\n"}
         self.ids: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
         whole = [self.whole(w) for w in PROBES]
         if self.whole(" ".join(PROBES)) != b"".join(whole) or self.whole(" \t\n" + PROBES[0] + "\r\n ") != whole[0]:
@@ -95,21 +96,13 @@ class WordEncoder:
         """Ids of plain words, all cut by one call."""
         parts = PIECES.findall("\n".join(words).lower())
         mapped = "\0".join(parts).encode().decode("latin-1").translate(self.letters).split("\0")
-        known = self.pieces
-        if len(known) > CACHE_WORDS:
-            known.clear()
-        out, now, tokenize = [], [], self.model.tokenize
-        for p in mapped:
-            if p == "\n":
-                out.append(now[0] if len(now) == 1 else b"".join(now))
-                now = []
-                continue
-            found = known.get(p)
-            if found is None:
-                found = known[p] = array("I", [t.id for t in tokenize(p)]).tobytes()
-            now.append(found)
-        out.append(b"".join(now))
-        return out
+        del parts
+        tokenize, known = self.model.tokenize, self.pieces
+        new = {p: array("I", [t.id for t in tokenize(p)]).tobytes() for p in set(mapped).difference(known) if p != "\n"}
+        ids = known | new | {"\n": MARK}
+        if len(known) < CACHE_WORDS:
+            known.update(new)
+        return b"".join(map(ids.__getitem__, mapped)).split(MARK)
 
     def _learn(self, words: list[str]) -> list[bytes]:
         plain = [w for w in words if PLAIN.fullmatch(w) and "<|" not in w] if self.by_pieces else []
@@ -117,22 +110,12 @@ class WordEncoder:
         return [found[w] if w in found else self.whole(w) for w in words]
 
     def _ids_of(self, words: list[str]) -> list[bytes]:
-        """Known words are taken from the cache of now, or of before it was last full."""
         found = list(map(self.ids.get, words))
         missing = [k for k, x in enumerate(found) if x is None]
-        if missing:
-            if len(self.ids) > CACHE_WORDS:
-                self.old, self.ids = self.ids, {}
-            unknown = []
-            for k in missing:
-                x = found[k] = self.old.get(words[k])
-                if x is None:
-                    unknown.append(k)
-                else:
-                    self.ids[words[k]] = x
-            if unknown:
-                for k, x in zip(unknown, self._learn([words[k] for k in unknown]), strict=True):
-                    found[k] = self.ids[words[k]] = x
+        for k, x in zip(missing, self._learn([words[k] for k in missing]), strict=True):
+            found[k] = x
+        if len(self.ids) < CACHE_WORDS:
+            self.ids.update(zip(words, found, strict=True))
         return found
 
     def texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -144,7 +127,7 @@ class WordEncoder:
         begin = np.cumsum(length) - length
         n = length[split.index]
         ends = np.cumsum(n)
-        at = np.repeat(begin[split.index] - (ends - n), n)
+        at = np.repeat(begin[split.index] - (ends - n), n)  # a portion has fewer ids than bytes, so 32 bits would do as well
         at += np.arange(len(at))
         return flat[at], np.concatenate([[0], ends])[split.offsets]
 
@@ -215,7 +198,8 @@ def write_frames(docs: DataFrame, path: str, tokenizer_path: str, id_col: str =
         if entries:
             yield pa.RecordBatch.from_arrays([pa.array([seek_table(entries, width)], pa.binary())], names=["value"])
 
-    ordered.mapInArrow(assemble, "value binary").select(F.col("value").cast("string")).write.option("lineSep", "\n").text(path)
+    with small_batches(docs.sparkSession):
+        ordered.mapInArrow(assemble, "value binary").select(F.col("value").cast("string")).write.option("lineSep", "\n").text(path)
 
 
 def seek_table(entries: list[tuple], width: int) -> bytes:

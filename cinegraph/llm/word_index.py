@@ -15,12 +15,16 @@ ROWS, BYTES = 2048, 8 << 20
 
 @dataclass
 class WordIndex:
-    """words: the distinct words; index: the number of each word of all texts, in order; offsets: where each text starts in it."""
+    """dictionary: the distinct words; index: the number of each word of all texts, in order; offsets: where each text starts in it."""
 
-    words: list[str]
+    dictionary: pa.Array
     index: np.ndarray
     offsets: np.ndarray
 
+    @property
+    def words(self) -> list[str]:
+        return self.dictionary.to_pylist()
+
     def text(self, k: int) -> np.ndarray:
         return self.index[self.offsets[k] : self.offsets[k + 1]]
 
@@ -30,17 +34,19 @@ def index_words(texts: pa.Array) -> WordIndex:
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
     lists = pc.ascii_split_whitespace(texts)
     offsets = lists.offsets.to_numpy().astype(np.int64)
-    coded = lists.values.slice(offsets[0], offsets[-1] - offsets[0]).dictionary_encode() if len(texts) else pa.array([], pa.large_string()).dictionary_encode()
-    words, index = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+    flat = lists.values.slice(offsets[0], offsets[-1] - offsets[0]) if len(texts) else pa.array([], pa.large_string())
+    coded = flat.dictionary_encode()
+    dictionary, index = coded.dictionary, coded.indices.to_numpy()
     offsets = offsets - offsets[0]
-    if "" in words:  # white space at a text's ends
-        real = index != words.index("")
+    blank = pc.index(dictionary, "").as_py()
+    if blank >= 0:  # white space at a text's ends
+        real = index != blank
         offsets = np.concatenate([[0], np.cumsum(real)])[offsets]
         index = index[real]
-    return WordIndex(words, index, offsets)
+    return WordIndex(dictionary, index, offsets)
 
 
-def portions(batch: pa.RecordBatch, column: int, rows: int = ROWS, size: int = BYTES) -> Iterator[pa.RecordBatch]:
+def portions(batch: pa.RecordBatch, column: int | str, rows: int = ROWS, size: int = BYTES) -> Iterator[pa.RecordBatch]:
     """The batch in slices of bounded rows and bytes of the text column."""
     lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     ends = np.cumsum(lengths)
