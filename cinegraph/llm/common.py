@@ -16,6 +16,8 @@ SPACE = r"[\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Stands for a null document id where ids are compared: larger than any other.
 NULL_ID = 2**63 - 1
+#: A planner's figure from here on means that it does not know.
+UNKNOWN_SIZE = 1 << 50
 #: Rows of texts that a worker gets at once.
 ARROW_ROWS = 2048
 
@@ -45,6 +47,24 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def drop(df: DataFrame) -> None:
+    """Removes the files that cut(df) wrote; the rows must not be read again."""
+    plan = df._jdf.queryExecution().logical()
+    if not plan.getClass().getSimpleName() == "LogicalRDD":
+        return
+    where = plan.rdd().getCheckpointFile()
+    if where.isDefined():
+        sc = df.sparkSession.sparkContext
+        path = sc._jvm.org.apache.hadoop.fs.Path(where.get())
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def planned_bytes(df: DataFrame) -> int:
+    """The planner's size of the rows; 0 where it has none."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))  # no job
+    return size if size < UNKNOWN_SIZE else 0
+
+
 @contextmanager
 def small_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> Iterator[None]:
     """Jobs inside send at most so many rows to a worker at once: texts are long, and a batch is held by both sides."""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 
 #: Words whose hashes a worker keeps at once.
@@ -32,6 +33,12 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
 
 
+def hash_words(words: pa.Array) -> np.ndarray:
+    """Hash of each word of an Arrow array."""
+    found = words.cast(pa.large_binary()).to_pylist()
+    return np.fromiter(map(xxhash.xxh64_intdigest, found), np.uint64, len(found))
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     x = x ^ (x >> np.uint64(33))
     x = x * _MIX1

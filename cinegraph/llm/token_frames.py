@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cinegraph.llm.common import cut, scratch_path, small_batches, whole_text
+from cinegraph.llm.common import cut, planned_bytes, scratch_path, small_batches, whole_text
 from cinegraph.llm.word_index import index_words, portions
 
 END_ID = 1
@@ -41,8 +41,8 @@ MAGIC = 0x43464D53
 SKIP = 0x184D2A50
 ENTRY = np.dtype([("id", "<i8"), ("flags", "<u4"), ("offset", "<u8"), ("length", "<u4"), ("n", "<u4"), ("crc", "<u4")])
 TAIL = struct.Struct("<QII")  # entries, width, magic
-#: Input bytes (by the planner) that one shard should hold at most; from UNKNOWN_SIZE on the planner has no figure.
-SHARD_BYTES, UNKNOWN_SIZE = 128 << 20, 1 << 50
+#: Input bytes (by the planner) that one shard should hold at most.
+SHARD_BYTES = 128 << 20
 #: From so many kept words, or pieces of words, on a worker keeps no more: the first that it meets hold the frequent ones.
 CACHE_WORDS = 60_000
 #: Ends a word among ids, all of which have a zero as their highest byte.
@@ -174,8 +174,7 @@ def range_bounds(docs: DataFrame, id_col: str, shards: int) -> list[int]:
 
 def shards_for(docs: DataFrame) -> int:
     """The session's partitions, or more if the plan's size says that shards would be above SHARD_BYTES of input."""
-    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))  # the planner's figure; no job
-    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARD_BYTES) if size < UNKNOWN_SIZE else 0)
+    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-planned_bytes(docs) // SHARD_BYTES))
 
 
 def write_frames(docs: DataFrame, path: str, tokenizer_path: str, id_col: str = "doc_id", text: str = "text", end_id: int = END_ID, vocab_below: int = 1 << 16, shards: int | None = None) -> None:

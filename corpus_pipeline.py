@@ -14,11 +14,10 @@ table stays empty in all stages.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from cinegraph.llm.common import cut, scratch_path, table, whole_text
+from cinegraph.llm.common import scratch_path, table
 from cinegraph.llm.decontaminate import drop_leaks
-from cinegraph.llm.ngram_join import BROADCAST_IDS, jaccard_components
+from cinegraph.llm.ngram_join import keep_first
 from cinegraph.llm.quality_rules import keep_good
 from cinegraph.llm.queries import tokenizer_path
 from cinegraph.llm.source_mix import mix, repeat_documents
@@ -31,19 +30,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Joins texts under keys of their own: the id, or a 64-bit hash of id and text where rows share an id."""
     ship_package(spark)
-    named = docs.where("doc_id is not null")
-    shared = cut(named.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("_shared")))
-    listed = F.broadcast(shared) if shared.count() <= BROADCAST_IDS else shared
-    keyed = docs.join(listed, docs["doc_id"] == listed["_shared"], "left")
-    keyed = keyed.withColumn("_key", F.when(F.col("_shared").isNull(), F.col("doc_id")).otherwise(F.xxhash64("doc_id", whole_text())))
-    found = jaccard_components(keyed.where("doc_id is not null").select("_key", "text"), "_key").select("_key", "component_id").distinct()
-    ids = keyed.where("_shared is not null").select(F.col("_key").alias("_of"), "doc_id").distinct()
-    nodes = cut(found.join(ids, F.col("_key") == F.col("_of"), "left").select(F.col("_key").alias("_other"), "component_id", F.coalesce("doc_id", "_key").alias("_id")))
-    least = nodes.groupBy("component_id").agg(F.min("_id").alias("_least"))
-    others = nodes.join(least, "component_id").where("_id > _least").select("_other")
-    return keyed.join(others, keyed["_key"] == others["_other"], "left_anti").select(*docs.columns)
+    return keep_first(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -158,8 +158,29 @@ def test_ngram_blocks():
         assert (joined(linked) == joined(kept)).all() and kept.sum() < 140 and not (kept & ~linked).any()
 
 
-@pytest.mark.parametrize("block", [256, 4])
-def test_ngram_hot_group(spark, block):
+def test_ngram_join_of_shared_and_null_ids(spark):
+    """Each text of an id has its links, one component for the id; null ids are documents of their own."""
+    own = {c: " ".join(f"{c}{j}" for j in range(50)) for c in "abc"}
+    near = {c: t.replace(f"{c}25", "other") for c, t in own.items()}
+    rows = [(1, near["a"], 1), (5, own["a"], 1), (5, own["b"], 1), (9, near["b"], 1), (None, near["a"], 1), (None, None, None), (None, own["c"], None), (7, "", 7), (5, "", 1), (8, None, 8), (9, near["b"], 1)]
+    df = spark.createDataFrame([(i, t, k, "clash") for k, (i, t, _) in enumerate(rows)], "doc_id long, text string, node long, n string")
+    got = ngram_join.jaccard_components(df).collect()
+    key = lambda r: (r[0] is None, r[0] or 0, r[1] is None, r[1] or 0)
+    assert sorted([(r["doc_id"], r["component_id"]) for r in got], key=key) == sorted([(i, c) for i, _, c in rows], key=key)
+
+
+def test_ngram_frequencies_order_and_buckets():
+    df = np.array([1, 2, 64, 65, 100, 4096, 10**9])
+    f = ngram_join.scaled(df).tolist()
+    assert f == sorted(f) and f[:3] == [1, 2, 64] and f[-1] == 255
+    texts = pa.array(["A b c D e f", "a B c d e", "x", None, "", "a b c d e f a b c d e"])
+    sets = ngram_join.shingle_sets(texts)
+    assert [len(s) for s in sets] == [2, 1, 1, 0, 0, 7] and set(sets[1]) <= set(sets[0])
+    assert ngram_join.common(sets[0], sets[5]) == 2 == ngram_join.common(sets[5], sets[0]) and ngram_join.common(sets[3], sets[0]) == 0
+
+
+@pytest.mark.parametrize(("block", "hot"), [(256, 4096), (4, 4096), (256, 6)])
+def test_ngram_hot_group(spark, block, hot):
     """A large group of near copies that mostly do not link with its centre."""
     rng = np.random.default_rng(3)
     words = [f"v{i}" for i in range(60)]
@@ -177,7 +198,7 @@ def test_ngram_hot_group(spark, block):
                 n = len(sets[a] & sets[b])
                 if 100 * n >= 75 * (len(sets[a]) + len(sets[b]) - n):
                     label[a] = label[b] = min(label[a], label[b])
-    with mock.patch.object(ngram_join.multiply, "__defaults__", (4,)), mock.patch.object(ngram_join, "BLOCK", block):
+    with mock.patch.object(ngram_join.multiply, "__defaults__", (4,)), mock.patch.object(ngram_join, "BLOCK", block), mock.patch.object(ngram_join, "HOT_ROW", hot):
         got = run(spark, "op10_ngram_join", spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
     assert {r.doc_id: r.component_id for r in got.itertuples()} == dict(enumerate(label))
 
