@@ -390,12 +390,14 @@ def open_blocks(stars: DataFrame, parts: DataFrame) -> DataFrame:
     Side 1 is missing where a block meets itself. A centre whose members fit one block has that block only.
     """
     members = stars.select("a", "b", F.col("nb").alias("n")).union(stars.select("a", "a", "na")).distinct()
-    placed = cut(members.join(parts.select(F.col("node").alias("b"), "component"), "b", "left").select("a", "b", "n", F.coalesce("component", "b").alias("part")))
+    salt = F.pmod(F.xxhash64("b"), F.lit(SALTS)).alias("salt")  # a centre's members are not one task
+    salts = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt")
+    placed = cut(members.join(parts.select(F.col("node").alias("b"), "component"), "b", "left").select("a", "b", "n", F.coalesce("component", "b").alias("part"), salt))
     per = placed.groupBy("a", "part").agg(F.count("*").alias("m"), F.sum("n").alias("t"))
     small = ((F.sum("m") <= BLOCK) & (F.sum("t") <= BLOCK_SHINGLES)).alias("small")
     cores = per.groupBy("a").agg(F.max_by("part", F.struct("m", "part")).alias("core"), F.count("*").alias("k"), small).where("k > 1").select("a", "core", "small")
     band = F.when(F.col("small"), 0).otherwise(F.floor(F.log(F.col("n")) / F.log(F.lit(BAND)))).alias("band")
-    dealt = placed.join(cores, "a").select("a", "b", "n", (~F.col("small") & (F.col("part") == F.col("core"))).alias("inner"), band)
+    dealt = placed.join(cores.select("*", salts), ["a", "salt"]).select("a", "b", "n", "salt", (~F.col("small") & (F.col("part") == F.col("core"))).alias("inner"), band)
     group = ["a", "inner", "band"]
     counts = dealt.groupBy(*group).agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias("blocks"))
     listed = counts.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
@@ -406,7 +408,7 @@ def open_blocks(stars: DataFrame, parts: DataFrame) -> DataFrame:
     sides = met.select("a", "block", F.lit(0).alias("side"), F.col("inner1").alias("inner"), F.col("band1").alias("band"), F.col("i1").alias("i")).union(
         met.where("inner2 or band1 <> band2 or i1 <> i2").select("a", "block", F.lit(1), "inner2", "band2", "i2")
     )
-    homes = dealt.join(counts, group).withColumn("i", F.pmod(F.xxhash64("b"), F.col("blocks")))
+    homes = dealt.join(counts.select("*", salts), [*group, "salt"]).withColumn("i", F.pmod(F.xxhash64("b"), F.col("blocks")))
     return homes.join(sides, [*group, "i"]).select("block", "side", F.col("b").alias("id"))
 
 

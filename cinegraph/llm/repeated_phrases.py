@@ -1,4 +1,4 @@
-"""Substring deduplication: recurring windows of words, located by sharded Aho-Corasick automata.
+"""Substring deduplication: recurring passages of words, located by sharded Aho-Corasick automata.
 
 A word is removed if a window of `size` words covers it whose word sequence also
 starts in a document with a smaller id. Every window counts; none is sampled:
@@ -9,12 +9,13 @@ starts in a document with a smaller id. Every window counts; none is sampled:
    segment hash, id) is shuffled. Documents of one batch that share a segment
    send it once, for the least id, which keeps hot passages small.
 2. Sorted by key, each key's rows pass through in a stream. A segment that a
-   smaller id has too is removed as a whole. Segments of a key that differ are
+   smaller id has too is confirmed as a whole. Segments of a key that differ are
    open: they may share some windows and not others.
-3. The open segments' windows are compared as texts; those that a smaller id
-   holds are confirmed phrases.
-4. Each shard of documents compiles the confirmed phrases that occur in it into one
-   automaton and streams its documents through it, to locate every occurrence.
+3. The open segments' windows are compared by 128-bit hashes; those that a smaller id
+   holds are confirmed. Least ids come from partial sums, and the join back can be split, so no phrase is one task.
+4. Each shard of documents compiles the confirmed passages of its documents, runs of confirmed segments and windows, into one
+   automaton over numbered words and streams all its documents through it, to locate every occurrence. A passage of a
+   document counts in it and in those with greater ids.
 
 Null ids count as one document after all others; rows that share an id are one
 document, and a window does not repeat within it. Null and empty texts have no words. Only id and
@@ -28,27 +29,38 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cinegraph.llm.common import NULL_ID, cut, whole_text
-from cinegraph.llm.shingle_hash import gram_hashes, sliding_min, span_hashes, split_words, word_hashes
+from cinegraph.llm.common import NULL_ID, cut, drop, small_batches, whole_text
+from cinegraph.llm.shingle_hash import gram_hashes, hash_words, mix, sliding_min, span_hashes
+from cinegraph.llm.word_index import WordIndex, index_words, portions
 
 SIZE, GRAM = 13, 5
-#: Documents that a worker takes at once; also a shard of an automaton.
-CHUNK = 512
+#: Documents of a shard that has an automaton of its own.
+SHARD = 512
 FULL, OPEN = 0, 1
+#: A word's number is written in digits of 7 bits; the first digit is marked, so that matches begin and end with words.
+DIGIT, FIRST = 7, 0x80
 
 
-def segments(h: np.ndarray, size: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """key, segment hash, first window, last window + 1 of a document's segments."""
-    if len(h) < size:
+def segments(h: np.ndarray, offsets: np.ndarray, size: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Text, key, segment hash, first window, last window + 1 of the segments of texts; windows are numbered as the words that they start at."""
+    windows = len(h) - size + 1
+    if windows < 1:
         none = np.zeros(0, np.int64)
-        return none.astype(np.uint64), none.astype(np.uint64), none, none
+        return none, none.astype(np.uint64), none.astype(np.uint64), none, none
+    owner = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
     least = sliding_min(gram_hashes(h, gram), size - gram + 1)
-    first = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
-    last = np.concatenate([first[1:], [len(least)]])
-    return least[first], span_hashes(h, first, last + size - 1), first, last
+    whole = owner[:windows] == owner[size - 1 :]  # windows of one text
+    new = np.concatenate([[True], (least[1:] != least[:-1]) | (owner[1:windows] != owner[: windows - 1])])
+    first = np.flatnonzero(whole & new)
+    ends = np.flatnonzero(whole & np.concatenate([new[1:] | ~whole[1:], [True]])) + 1
+    return owner[first], least[first], span_hashes(h, first, ends + size - 1), first, ends
+
+
+def _marks(key: np.ndarray, seg: np.ndarray) -> np.ndarray:
+    return key ^ (seg << np.uint64(1))
 
 
 def _signed(x: np.ndarray) -> pa.Array:
@@ -56,25 +68,22 @@ def _signed(x: np.ndarray) -> pa.Array:
 
 
 def document_segments(docs: DataFrame, size: int, gram: int) -> DataFrame:
-    """deal, state, key, seg, id: distinct segments of the documents. deal spreads rows that are settled already."""
+    """state, key, seg, id: distinct segments of the documents; FULL ones are settled already, for a smaller id of their batch has them."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, CHUNK):
-                part = batch.slice(at, CHUNK)
-                ids = part.column(0).to_numpy()
-                found = [segments(word_hashes(split_words(t)), size, gram)[:2] for t in part.column(1).to_pylist()]
-                owner = np.repeat(ids, [len(k) for k, _ in found])
-                key, seg = np.concatenate([k for k, _ in found]), np.concatenate([s for _, s in found])
+            for part in portions(batch, 1):
+                split = index_words(part.column(1))
+                text, key, seg, _, _ = segments(hash_words(split.dictionary)[split.index], split.offsets, size, gram)
+                owner = part.column(0).to_numpy()[text]
                 order = np.lexsort((owner, seg, key))
                 key, seg, owner = key[order], seg[order], owner[order]
                 same = np.concatenate([[False], (key[1:] == key[:-1]) & (seg[1:] == seg[:-1])])[: len(key)]
                 fresh = ~same | (np.concatenate([[0], owner[:-1]])[: len(owner)] != owner)  # a document's own repeats are one
                 key, seg, owner, same = key[fresh], seg[fresh], owner[fresh], same[fresh]
-                deal = np.where(same, owner.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15), key)
-                yield pa.RecordBatch.from_arrays([_signed(deal), pa.array(np.where(same, FULL, OPEN).astype(np.int32)), _signed(key), _signed(seg), pa.array(owner)], names=["deal", "state", "key", "seg", "id"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.where(same, FULL, OPEN).astype(np.int32)), _signed(key), _signed(seg), pa.array(owner)], names=["state", "key", "seg", "id"])
 
-    return docs.mapInArrow(work, "deal long, state int, key long, seg long, id long")
+    return docs.mapInArrow(work, "state int, key long, seg long, id long")
 
 
 def settle(rows: DataFrame) -> DataFrame:
@@ -89,7 +98,7 @@ def settle(rows: DataFrame) -> DataFrame:
         last = None  # key, seg of the row before
         last_id = None
         for batch in batches:
-            state, key, seg, ids = (batch.column(i).to_numpy() for i in range(1, 5))
+            state, key, seg, ids = (batch.column(i).to_numpy() for i in range(4))
             done = state == FULL
             fresh = np.ones(len(key), bool)
             fresh[1:] = done[1:] | done[:-1] | (key[1:] != key[:-1]) | (seg[1:] != seg[:-1]) | (ids[1:] != ids[:-1])
@@ -139,82 +148,135 @@ def settle(rows: DataFrame) -> DataFrame:
             if extra:
                 yield pa.RecordBatch.from_arrays([pa.array([x[2] for x in extra]), pa.array([x[0] for x in extra]), pa.array([x[1] for x in extra]), pa.array(np.full(len(extra), OPEN, np.int32))], names=names)
 
-    ordered = rows.repartition("deal").sortWithinPartitions("state", "key", "seg", "id")
+    deal = F.when(F.col("state") == FULL, F.xxhash64("id")).otherwise(F.col("key"))  # settled rows need no company
+    ordered = rows.repartition(deal).sortWithinPartitions("state", "key", "seg", "id")
     return ordered.mapInArrow(work, "id long, key long, seg long, state int")
 
 
+def window_hashes(h: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of each window."""
+    return gram_hashes(h, size), gram_hashes(mix(h ^ np.uint64(0x5851F42D4C957F2D)), size)
+
+
 def open_windows(rows: DataFrame, size: int, gram: int) -> DataFrame:
-    """id, phrase: the distinct windows of the open segments of (id, text, opened)."""
+    """id, p1, p2: the distinct windows of the open segments of (id, text, opened), by their hashes."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, found = [], []
-            for i, text, opened in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                words = split_words(text)
-                key, seg, first, last = segments(word_hashes(words), size, gram)
-                wanted = np.isin(key ^ (seg << np.uint64(1)), np.array(opened, np.int64).view(np.uint64))
-                phrases = {b" ".join(words[j : j + size]) for a, b in zip(first[wanted].tolist(), last[wanted].tolist(), strict=True) for j in range(a, b)}
-                found.extend(p.decode() for p in phrases)
-                ids.extend([i] * len(phrases))
-                if len(found) > 10_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(found, pa.string())], names=["id", "phrase"])
-                    ids, found = [], []
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(found, pa.string())], names=["id", "phrase"])
-
-    return rows.mapInArrow(work, "id long, phrase string")
-
-
-def _locate(words: list[str], automaton, owner_below: int, size: int, gone: np.ndarray) -> None:
-    """Marks the words of every occurrence whose phrase a smaller id owns."""
-    line = " " + " ".join(words) + " "
-    starts = np.cumsum([1, *[len(w) + 1 for w in words]])
-    for end, owner in automaton.iter(line):
-        if owner < owner_below:
-            last = int(np.searchsorted(starts, end)) # the word after the phrase
-            gone[max(0, last - size) : last] = True
+            for part in portions(batch, 1):
+                split = index_words(part.column(1))
+                h = hash_words(split.dictionary)[split.index]
+                text, key, seg, first, last = segments(h, split.offsets, size, gram)
+                wanted = held_by(part.column(2), text, _marks(key, seg))
+                starts = _runs(first[wanted], last[wanted])
+                owner = np.repeat(text[wanted], (last - first)[wanted])
+                p1, p2 = (p[starts] for p in window_hashes(h, size))
+                order = np.lexsort((p1, owner))
+                one = order[np.concatenate([[True], (p1[order][1:] != p1[order][:-1]) | (owner[order][1:] != owner[order][:-1])])] if len(order) else order
+                yield pa.RecordBatch.from_arrays([pa.array(part.column(0).to_numpy()[owner[one]]), _signed(p1[one]), _signed(p2[one])], names=["id", "p1", "p2"])
+
+    return rows.mapInArrow(work, "id long, p1 long, p2 long")
+
+
+def _runs(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """All numbers from each start to before its end."""
+    n = ends - starts
+    out = np.repeat(starts - (np.cumsum(n) - n), n)
+    return out + np.arange(len(out))
+
+
+def held_by(lists: pa.Array, text: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Whether values[k] is in the list of row text[k]; text ascends."""
+    flat, offsets = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64) if len(lists) else np.zeros(0, np.uint64), lists.offsets.to_numpy()
+    offsets = offsets - offsets[0]
+    out = np.zeros(len(values), bool)
+    bounds = np.searchsorted(text, np.arange(len(lists) + 1))
+    for k in np.flatnonzero((np.diff(offsets) > 0) & (np.diff(bounds) > 0)).tolist():
+        a, b = bounds[k], bounds[k + 1]
+        out[a:b] = np.isin(values[a:b], flat[offsets[k] : offsets[k + 1]])
+    return out
+
+
+def written(split: WordIndex) -> tuple[str, int]:
+    """The texts' words as digits, and the digits of a word."""
+    digits = 1
+    while len(split.dictionary) > 1 << (DIGIT * digits):
+        digits += 1
+    out = np.empty((len(split.index), digits), np.uint8)
+    for k in range(digits):
+        out[:, k] = (split.index >> (DIGIT * (digits - 1 - k))) & ((1 << DIGIT) - 1)
+    out[:, 0] |= FIRST
+    return out.tobytes().decode("latin-1"), digits
+
+
+def locate(split: WordIndex, ids: list[int], confirmed: np.ndarray, size: int) -> np.ndarray:
+    """Whether each word of a shard is in an occurrence of a confirmed passage.
+
+    confirmed: whether the window that starts at a word is. Passages are the longest runs of words that confirmed windows cover;
+    an occurrence counts from the least id on that has the passage confirmed.
+    """
+    import ahocorasick
+
+    gone = np.zeros(len(split.index), bool)
+    starts = np.flatnonzero(confirmed)
+    if not len(starts):
+        return gone
+    text = np.searchsorted(split.offsets, starts, side="right") - 1
+    apart = np.concatenate([[True], (starts[1:] > starts[:-1] + size) | (text[1:] != text[:-1])])
+    begin, end = starts[apart], starts[np.append(np.flatnonzero(apart)[1:] - 1, len(starts) - 1)] + size
+    line, digits = written(split)
+    passages: dict[str, int] = {}
+    for k, a, b in zip(text[apart].tolist(), (begin * digits).tolist(), (end * digits).tolist(), strict=True):
+        passage = line[a:b]
+        if passages.get(passage, NULL_ID + 1) > ids[k]:
+            passages[passage] = ids[k]
+    automaton = ahocorasick.Automaton()
+    for passage, least in passages.items():
+        automaton.add_word(passage, (len(passage) // digits, least))
+    automaton.make_automaton()
+    offsets = split.offsets.tolist()
+    for i, a, b in zip(ids, offsets[:-1], offsets[1:], strict=True):
+        for at, (n, least) in automaton.iter(line[a * digits : b * digits]):
+            if least <= i:
+                last = a + (at + 1) // digits
+                gone[last - n : last] = True
+    return gone
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", size: int = SIZE, gram: int = GRAM) -> DataFrame:
     """id_col, n_words, n_removed, kept (the words that stay, joined by one space) for each row."""
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("id"), whole_text(text).alias("text"))
-    found = settle(document_segments(rows, size, gram))
     mark = F.col("key").bitwiseXOR(F.shiftleft("seg", 1))
-    per_doc = cut(found.groupBy("id").agg(F.collect_set(F.when(F.col("state") == FULL, mark)).alias("full"), F.collect_set(F.when(F.col("state") == OPEN, mark)).alias("opened")))
     texts = rows.repartition("id")
-    phrases = open_windows(texts.join(per_doc.where(F.size("opened") > 0).select("id", "opened"), "id").select("id", "text", "opened"), size, gram)
-    confirmed = phrases.withColumn("owner", F.min("id").over(Window.partitionBy("phrase"))).where("owner < id")
-    listed = confirmed.groupBy("id").agg(F.collect_list(F.struct("phrase", "owner")).alias("phrases"))
-    joined = texts.join(per_doc.select("id", "full"), "id", "left").join(listed, "id", "left").select("id", "text", "full", "phrases")
+    empty = F.array().cast("array<bigint>")
+    with small_batches(docs.sparkSession):
+        found = settle(document_segments(rows, size, gram))
+        per_doc = cut(found.groupBy("id").agg(F.collect_set(F.when(F.col("state") == FULL, mark)).alias("full"), F.collect_set(F.when(F.col("state") == OPEN, mark)).alias("opened")))
+        windows = cut(open_windows(texts.join(per_doc.where(F.size("opened") > 0).select("id", "opened"), "id").select("id", "text", "opened"), size, gram))
+        owners = windows.groupBy("p1", "p2").agg(F.min("id").alias("owner"), F.max("id").alias("last")).where("owner < last")
+        confirmed = cut(windows.join(owners, ["p1", "p2"]).where("owner < id").groupBy("id").agg(F.collect_set("p1").alias("windows")))
+        drop(windows)
+    joined = texts.join(per_doc.select("id", "full"), "id", "left").join(confirmed, "id", "left").select("id", "text", F.coalesce("full", empty).alias("full"), F.coalesce("windows", empty).alias("windows"))
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import ahocorasick
-
         for batch in batches:
-            for at in range(0, batch.num_rows, CHUNK):
-                part = batch.slice(at, CHUNK)
-                ids, texts, full, listed = (part.column(i).to_pylist() for i in range(4))
-                automaton = ahocorasick.Automaton()
-                for x in listed:
-                    for p in x or ():
-                        automaton.add_word(f" {p['phrase']} ", p["owner"])
-                if len(automaton):
-                    automaton.make_automaton()
-                n_words, n_removed, kept = [], [], []
-                for i, t, marks, mine in zip(ids, texts, full, listed, strict=True):
-                    words = split_words(t)
-                    gone = np.zeros(len(words), bool)
-                    if marks:
-                        key, seg, first, last = segments(word_hashes(words), size, gram)
-                        hit = np.isin(key ^ (seg << np.uint64(1)), np.array(marks, np.int64).view(np.uint64))
-                        for a, b in zip(first[hit].tolist(), last[hit].tolist(), strict=True):
-                            gone[a : b + size - 1] = True
-                    if mine:
-                        _locate([w.decode() for w in words], automaton, i, size, gone)
-                    n_words.append(len(words))
-                    n_removed.append(int(gone.sum()))
-                    kept.append(b" ".join([w for w, g in zip(words, gone.tolist(), strict=True) if not g] if n_removed[-1] else words))
+            for part in portions(batch, 1, SHARD):
+                ids = part.column(0).to_pylist()
+                split = index_words(part.column(1))
+                h = hash_words(split.dictionary)[split.index]
+                owner, key, seg, first, last = segments(h, split.offsets, size, gram)
+                full = held_by(part.column(2), owner, _marks(key, seg))
+                known = np.zeros(len(h) + 1, bool)
+                known[_runs(first[full], last[full])] = True
+                starts = _runs(first, last)
+                known[starts[held_by(part.column(3), np.repeat(owner, last - first), gram_hashes(h, size)[starts] if len(starts) else np.zeros(0, np.uint64))]] = True
+                gone = locate(split, ids, known[: len(h)], size)
+                words, stays = np.array(split.words, object), ~gone
+                n_words = np.diff(split.offsets)
+                kept = [" ".join(words[split.text(k)[stays[a:b]]]) for k, (a, b) in enumerate(zip(split.offsets[:-1].tolist(), split.offsets[1:].tolist(), strict=True))]
+                removed = np.concatenate([[0], np.cumsum(gone)])[split.offsets]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([None if i == NULL_ID else i for i in ids], pa.int64()), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array([k.decode() for k in kept]), pa.array([hashlib.sha256(k).hexdigest() for k in kept])],
+                    [pa.array([None if i == NULL_ID else i for i in ids], pa.int64()), pa.array(n_words, pa.int64()), pa.array(np.diff(removed), pa.int64()), pa.array(kept, pa.string()), pa.array([hashlib.sha256(k.encode()).hexdigest() for k in kept])],
                     names=[id_col, "n_words", "n_removed", "kept", "kept_sha256"],
                 )
 
