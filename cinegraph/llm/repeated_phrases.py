@@ -12,7 +12,7 @@ starts in a document with a smaller id. Every window counts; none is sampled:
    smaller id has too is confirmed as a whole. Segments of a key that differ are
    open: they may share some windows and not others.
 3. The open segments' windows are compared by 128-bit hashes; those that a smaller id
-   holds are confirmed. Least ids come from partial sums, and the join back can be split, so no phrase is one task.
+   holds are confirmed. Documents of one batch that share a window send it once too.
 4. Each shard of documents compiles the confirmed passages of its documents, runs of confirmed segments and windows, into one
    automaton over numbered words and streams all its documents through it, to locate every occurrence. A passage of a
    document counts in it and in those with greater ids.
@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cinegraph.llm.common import NULL_ID, cut, drop, small_batches, whole_text
+from cinegraph.llm.common import NULL_ID, cut, small_batches, whole_text
 from cinegraph.llm.shingle_hash import gram_hashes, hash_words, mix, sliding_min, span_hashes
 from cinegraph.llm.word_index import WordIndex, index_words, portions
 
@@ -159,7 +159,7 @@ def window_hashes(h: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def open_windows(rows: DataFrame, size: int, gram: int) -> DataFrame:
-    """id, p1, p2: the distinct windows of the open segments of (id, text, opened), by their hashes."""
+    """state, p1, p2, id: the distinct windows of the open segments of (id, text, opened), by their hashes; FULL as for segments."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -169,13 +169,39 @@ def open_windows(rows: DataFrame, size: int, gram: int) -> DataFrame:
                 text, key, seg, first, last = segments(h, split.offsets, size, gram)
                 wanted = held_by(part.column(2), text, _marks(key, seg))
                 starts = _runs(first[wanted], last[wanted])
-                owner = np.repeat(text[wanted], (last - first)[wanted])
+                owner = part.column(0).to_numpy()[np.repeat(text[wanted], (last - first)[wanted])]
                 p1, p2 = (p[starts] for p in window_hashes(h, size))
-                order = np.lexsort((p1, owner))
-                one = order[np.concatenate([[True], (p1[order][1:] != p1[order][:-1]) | (owner[order][1:] != owner[order][:-1])])] if len(order) else order
-                yield pa.RecordBatch.from_arrays([pa.array(part.column(0).to_numpy()[owner[one]]), _signed(p1[one]), _signed(p2[one])], names=["id", "p1", "p2"])
+                order = np.lexsort((owner, p2, p1))
+                p1, p2, owner = p1[order], p2[order], owner[order]
+                same = np.concatenate([[False], (p1[1:] == p1[:-1]) & (p2[1:] == p2[:-1])])[: len(p1)]
+                fresh = ~same | (np.concatenate([[0], owner[:-1]])[: len(owner)] != owner)
+                yield pa.RecordBatch.from_arrays([pa.array(np.where(same, FULL, OPEN)[fresh].astype(np.int32)), _signed(p1[fresh]), _signed(p2[fresh]), pa.array(owner[fresh])], names=["state", "p1", "p2", "id"])
 
-    return rows.mapInArrow(work, "id long, p1 long, p2 long")
+    return rows.mapInArrow(work, "state int, p1 long, p2 long, id long")
+
+
+def confirm(windows: DataFrame) -> DataFrame:
+    """id, p1 of the windows that a smaller id holds too. Sorted rows pass in a stream that remembers one window."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None  # the window of the row before, and its least id
+        for batch in batches:
+            state, p1, p2, ids = (c.to_numpy() for c in batch.columns)
+            done = int(np.searchsorted(state, OPEN))
+            yield pa.RecordBatch.from_arrays([pa.array(ids[:done]), pa.array(p1[:done])], names=["id", "p1"])
+            p1, p2, ids = p1[done:], p2[done:], ids[done:]
+            if not len(p1):
+                continue
+            new = np.concatenate([[True], (p1[1:] != p1[:-1]) | (p2[1:] != p2[:-1])])
+            least = ids[new]
+            if held and held[:2] == (p1[0], p2[0]):
+                least[0] = held[2]
+            later = ids > least[np.cumsum(new) - 1]
+            held = (p1[-1], p2[-1], least[-1])
+            yield pa.RecordBatch.from_arrays([pa.array(ids[later]), pa.array(p1[later])], names=["id", "p1"])
+
+    deal = F.when(F.col("state") == FULL, F.xxhash64("id")).otherwise(F.col("p1"))
+    return windows.repartition(deal).sortWithinPartitions("state", "p1", "p2", "id").mapInArrow(work, "id long, p1 long")
 
 
 def _runs(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -252,10 +278,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     with small_batches(docs.sparkSession):
         found = settle(document_segments(rows, size, gram))
         per_doc = cut(found.groupBy("id").agg(F.collect_set(F.when(F.col("state") == FULL, mark)).alias("full"), F.collect_set(F.when(F.col("state") == OPEN, mark)).alias("opened")))
-        windows = cut(open_windows(texts.join(per_doc.where(F.size("opened") > 0).select("id", "opened"), "id").select("id", "text", "opened"), size, gram))
-        owners = windows.groupBy("p1", "p2").agg(F.min("id").alias("owner"), F.max("id").alias("last")).where("owner < last")
-        confirmed = cut(windows.join(owners, ["p1", "p2"]).where("owner < id").groupBy("id").agg(F.collect_set("p1").alias("windows")))
-        drop(windows)
+        windows = open_windows(texts.join(per_doc.where(F.size("opened") > 0).select("id", "opened"), "id").select("id", "text", "opened"), size, gram)
+        confirmed = cut(confirm(windows).groupBy("id").agg(F.collect_set("p1").alias("windows")))
     joined = texts.join(per_doc.select("id", "full"), "id", "left").join(confirmed, "id", "left").select("id", "text", F.coalesce("full", empty).alias("full"), F.coalesce("windows", empty).alias("windows"))
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
