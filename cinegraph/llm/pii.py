@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cinegraph.llm.common import cut, whole_text
-from cinegraph.llm.spans import find_spans
+from cinegraph.llm.spans import find_spans, outside
 
 KINDS = ("email", "ip", "card", "phone")
 #: The base patterns, written so that a run of characters is entered at its start only.
@@ -35,13 +35,20 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 SPELT_EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++ ?[\[(](?i:at)[\])] ?[A-Za-z0-9-]++(?: ?(?:[\[(](?i:dot)[\])]|\.) ?[A-Za-z0-9-]++)++"
 LOCAL_PHONE = r"(?<![0-9+().-])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9.-]?[0-9])"
 #: Gazetteers and context words.
-TOP_DOMAINS = ("com", "org", "net", "edu", "gov", "io", "de", "fr", "es", "uk", "eu", "info", "biz")
-CARD_STARTS = r"^(?:4|5[1-5]|2[2-7]|3[47]|6(?:011|5))"
-DIAL_CODES = r"^\+?(?:1|33|34|44|49|39|31|32|41|43|55|61|81|86|91)"
+TOP_DOMAINS = (
+    "com", "org", "net", "edu", "gov", "mil", "int", "info", "biz", "name", "io", "co", "me", "app", "dev", "ai",
+    "at", "au", "be", "br", "ca", "ch", "cl", "cn", "cz", "de", "dk", "es", "eu", "fi", "fr", "gr", "hu", "ie", "il", "in", "it", "jp", "kr", "mx",
+    "nl", "no", "nz", "pl", "pt", "ro", "ru", "se", "sg", "sk", "tr", "tw", "ua", "uk", "us", "za",
+)
+#: Blocks of addresses that belong to no host of the open network.
+SPECIAL_IPS = r"^0*(?:0|10|127|22[4-9]|23[0-9]|24[0-9]|25[0-5])\.|^0*169\.0*254\.|^0*172\.0*(?:1[6-9]|2[0-9]|3[01])\.|^0*192\.0*168\.|^0*192\.0*0\.0*2\.|^0*198\.0*51\.0*100\.|^0*203\.0*0\.0*113\."
+#: First digits of card issuers.
+CARD_STARTS = r"^(?:4|5[0-8]|2(?:22[1-9]|2[3-9]|[3-6]|7[01]|720)|3[0689]|3[47]|35(?:2[89]|[3-8])|6(?:011|4[4-9]|5|2|0|3|7))"
+#: Country codes of the telephone network: zones, and the two- and three-digit codes of each.
+DIAL_CODES = r"^\+?(?:1|7|2[07]|2[1-69][0-9]|3[0-469]|3[578][0-9]|4[013-9]|42[0-9]|5[1-8]|5[09][0-9]|6[0-6]|6[7-9][0-9]|8[1246]|8[578][0-9]|9[0-58]|9[679][0-9])"
 FOR_WORDS = {"email": r"\b(?:e-?mail|mail|contact|write|reach)\b", "ip": r"\b(?:ip|host|server|address|from|login)\b", "card": r"\b(?:card|visa|mastercard|amex|credit|debit|payment|pan)\b", "phone": r"\b(?:tel|phone|call|mobile|cell|fax|contact)\b"}
 AGAINST_WORDS = r"\b(?:version|order|invoice|isbn|issn|serial|build|section|chapter|ticket|id|no)\b[^a-z]*$"
 LABELERS = ("v_format", "v_gazetteer", "v_for", "v_against", "v_layout")
-CONTEXT = 24
 EM_STEPS = 8
 #: A candidate beside the base is added from this probability on, and only if a context or gazetteer labeler speaks for it.
 SURE = 0.9
@@ -78,7 +85,7 @@ def _votes(kind: str, s: Column, before: Column) -> dict[str, Column]:
     form = {"email": F.contains(s, F.lit("@")), "ip": is_base("ip", s), "card": luhn(d), "phone": F.startswith(s, F.lit("+"))}[kind]
     listed = {
         "email": F.lower(F.regexp_extract(s, r"([A-Za-z]+)$", 1)).isin(*TOP_DOMAINS),
-        "ip": ~F.regexp_like(s, F.lit(r"^(?:0|255)\.")),
+        "ip": ~F.regexp_like(s, F.lit(SPECIAL_IPS)),
         "card": F.regexp_like(d, F.lit(CARD_STARTS)),
         "phone": F.regexp_like(s, F.lit(DIAL_CODES)) | F.regexp_like(d, F.lit("^[2-9]")),
     }[kind]
@@ -91,7 +98,7 @@ def _votes(kind: str, s: Column, before: Column) -> dict[str, Column]:
 
 def _candidates(kind: str, rank: int, spans: Column, base: Column | bool) -> Column:
     def build(s):
-        before = F.lower(F.substr(F.col("_pii_t"), F.greatest(s["start"] - CONTEXT, F.lit(0)) + 1, F.least(s["start"], F.lit(CONTEXT))))
+        before = F.lower(s["before"])
         return F.struct(
             F.lit(kind).alias("kind"), F.lit(rank).alias("rank"), s["start"].alias("start"), s["end"].alias("end"), (is_base(kind, s["text"]) if base is True else F.lit(False)).alias("base"),
             *[v.cast("int").alias(k) for k, v in _votes(kind, s["text"], before).items()],
@@ -194,10 +201,10 @@ def find_pii(docs: DataFrame, text: str = "text") -> DataFrame:
     weights = train(counted, model)
     plain = lambda cs: F.transform(cs, lambda c: F.struct(c["kind"], c["rank"], c["start"], c["end"]))
     base = F.filter("_pii_c", lambda c: c["base"])
-    backed = lambda c: (F.coalesce(c["v_for"], F.lit(0)) == 1) & F.coalesce(c["v_against"] != 0, F.lit(True))
-    weak = F.filter("_pii_c", lambda c: ~c["base"] & backed(c) & ~F.exists(F.col("_pii_base"), lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
+    backed = lambda c: (F.coalesce(c["v_for"], F.lit(0)) == 1) | (c["v_gazetteer"] == 1)
+    weak = F.filter("_pii_c", lambda c: ~c["base"] & backed(c))
     sure = F.when(F.size("_pii_weak") > 0, F.filter("_pii_weak", lambda c: probability(c, model, weights) >= SURE)).otherwise(F.col("_pii_weak"))
-    out = narrow.withColumn("_pii_base", plain(base)).withColumn("_pii_weak", weak).withColumn("_pii_sure", plain(sure))
+    out = narrow.withColumn("_pii_base", plain(base)).withColumn("_pii_weak", weak).withColumn("_pii_sure", plain(sure)).withColumn("_pii_sure", outside(F.col("_pii_sure"), F.col("_pii_base")))
     return out.withColumn("_pii_spans", F.concat("_pii_base", "_pii_sure")).drop("_pii_c", "_pii_weak", "_pii_sure")
 
 
