@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cinegraph.llm.common import cut, whole_text
-from cinegraph.llm.spans import find_spans
+from cinegraph.llm.spans import find_spans, outside
 
 KINDS = ("assign", "access", "hex", "id", "secret", "endpoint")
 #: The base patterns.
@@ -83,6 +83,6 @@ def find_secrets(docs: DataFrame, text: str = "text", scope: int = SCOPE) -> Dat
     plain = lambda ps: F.transform(ps, lambda p: F.struct(p["kind"], p["rank"], p["start"], p["end"]))
     linked = link(narrow, scope).groupBy("_sec_row").agg(F.collect_list(F.struct("kind", "rank", "start", "end")).alias("_sec_linked"))
     out = narrow.withColumn("_sec_base", plain(F.filter("_sec_p", lambda p: p["base"]))).drop("_sec_p").join(linked, "_sec_row", "left").drop("_sec_row")
-    # a weak part inside a base span says nothing new
-    new = F.filter("_sec_linked", lambda p: ~F.exists(F.col("_sec_base"), lambda b: (b["start"] < p["end"]) & (p["start"] < b["end"])))
-    return out.withColumn("_sec_spans", F.when(F.col("_sec_linked").isNull(), F.col("_sec_base")).otherwise(F.concat("_sec_base", new))).drop("_sec_linked")
+    # a weak part that overlaps a base span says nothing new
+    new = out.withColumn("_sec_new", F.when(F.col("_sec_linked").isNotNull(), outside(F.col("_sec_linked"), F.col("_sec_base"))))
+    return new.withColumn("_sec_spans", F.when(F.col("_sec_new").isNull(), F.col("_sec_base")).otherwise(F.concat("_sec_base", "_sec_new"))).drop("_sec_linked", "_sec_new")
