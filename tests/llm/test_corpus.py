@@ -320,15 +320,46 @@ def test_html_main():
     assert html_main.best_region([-1, 2, -1, 2, -5, 3]) == (1, 4)
 
 
-def test_source_mix_with_a_prior(spark):
+def solved_rates(sizes, priors, target, cap=2.0):
+    """The rates of one source by bisection: cap * sigmoid(prior + lambda * size / mean)."""
+    mean = sizes[sizes > 0].mean()
+    rates = lambda lam: cap / (1 + np.exp(-np.clip(priors + lam * sizes / mean, -700, 700)))
+    low, high = -1e4, 1e4
+    for _ in range(200):
+        mid = (low + high) / 2
+        low, high = (mid, high) if (rates(mid) * sizes).sum() < target else (low, mid)
+    return rates(low)
+
+
+@pytest.mark.parametrize("with_prior", [False, True])
+def test_source_mix_rates_equal_a_plain_solver(spark, with_prior):
     from pyspark.sql import functions as F
 
-    rows = [(i, "w " * (1 + i * 7 % 23), "abc"[i % 3], [14.0, -9.0, None][i // 3 % 3] if i % 3 else 14.0) for i in range(600)]
+    rows = [(i, "w " * (i * 7 % 23), "abc"[i % 3], [14.0, -9.0, None][i // 3 % 3] if i % 3 else 14.0) for i in range(900)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string, p double")
-    got = source_mix.mix(df, prior=F.col("p")).toPandas()
-    by = got.assign(source=got.doc_id % 3, wish=got.rate * got["size"]).groupby("source").agg(t=("target", "first"), k=("taken", "sum"), wish=("wish", "sum"))
-    assert ((by.k - by.t).abs() <= 25).all() and ((by.wish - by.t).abs() < 1e-3).all()
-    assert got[got.doc_id % 3 == 1].rate.nunique() == 3
+    got = source_mix.mix(df, prior=F.col("p") if with_prior else None).toPandas().sort_values("doc_id")
+    priors = np.array([(r[3] or 0.0) if with_prior else 0.0 for r in rows])
+    for k in range(3):
+        one = got[got.doc_id % 3 == k]
+        size, target = one["size"].to_numpy(float), one.target.iloc[0]
+        if target < 2 * size.sum():
+            want = solved_rates(size, priors[k::3], target)
+            assert np.abs(one.rate - want)[size > 0].max() < 1e-4 and one[one["size"] > 0].rate.nunique() > 3
+        else:
+            assert (one.rate == 2).all()
+        assert abs(one.taken.sum() - target) <= 25 and (one.taken <= 2 * size).all()
+
+
+def test_repeated_rows_keep_the_mix(spark):
+    rows = [(5, "a b c d e", "x")] * 7 + [(5, "q r s", "x"), (None, "a b", "y"), (None, "a b", "y"), (None, "c d e f", "y"), (6, None, "y"), (7, "", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").selectExpr("*", "1 as key", "'c' as size")
+    mixed = source_mix.mix(df)
+    out = source_mix.repeat_documents(df, mixed)
+    count = lambda d, w: sorted(d.groupBy("doc_id", "text").agg(w).collect(), key=repr)
+    import pyspark.sql.functions as F
+
+    joined = mixed.groupBy("doc_id", "key").agg(F.sum("copies").alias("n")).where("n > 0").agg(F.sum("n")).first()[0]
+    assert out.columns == df.columns and out.count() == joined
 
 
 @pytest.mark.parametrize("wrap", ["article", "main", "div"])
@@ -345,8 +376,54 @@ def test_html_main_with_inner_asides_and_lists(wrap):
     assert html_main.main_text(page, weights) == " ".join(["Head", text("l", 15), *(f"i{j} one" for j in range(40)), text("b", 60), *(f"c{j} d{j}" for j in range(20))])
 
 
+def plain_words(c, n):
+    return " ".join(f"{c}{j}" for j in range(n))
+
+
+MENU = "<ul>" + "<li><a href=x>go there</a></li>" * 20 + "</ul>"
+#: Six kinds of pages, each with the text that a reader would call the article.
+TEMPLATES = {
+    "nested": (f"<body><div id=top><div class='site-header'>{MENU}</div><div class='wrap'><div class='content'><h1>Head</h1><div><div><p>{plain_words('a', 40)}</p></div><div><p>{plain_words('b', 9)}</p></div></div></div></div></div><div class='footer-links'>{MENU}</div></body>", f"Head {plain_words('a', 40)} {plain_words('b', 9)}"),
+    "unclosed": (f"<nav>{MENU}</nav><article><h1>Head<p class=ad>Buy this<p>{plain_words('a', 12)}<ul><li>one two<li>three four</ul><table><tr><td>x1<td>x2<tr><td>x3<td>x4</table><p>{plain_words('b', 5)}<p class=notice>Read me</article><footer>foot", f"Head {plain_words('a', 12)} one two three four x1 x2 x3 x4 {plain_words('b', 5)}"),
+    "no article": (f"<body><div class=nav>{MENU}</div><h1>Head line</h1><p>short one</p><p>{plain_words('s', 6)}</p><table><tr><th>k</th><td>{plain_words('v', 3)}</td></tr></table><p>{plain_words('a', 80)}</p><p>{plain_words('e', 8)}</p><div class='comments'><p>{plain_words('c', 90)}</p></div></body>", f"Head line short one {plain_words('s', 6)} k {plain_words('v', 3)} {plain_words('a', 80)} {plain_words('e', 8)}"),
+    "tables": (f"<main><h1>Data</h1><table><caption>Cap</caption>{''.join(f'<tr><td>r{j}</td><td><b>{j}</b></td></tr>' for j in range(30))}</table></main><aside>{plain_words('z', 50)}</aside>", "Data Cap " + " ".join(f"r{j} {j}" for j in range(30))),
+    "late asides": (f"<article><h1>Head</h1><p>{plain_words('a', 40)}</p><aside>{MENU}</aside><p>{plain_words('b', 200)}</p><div class='share-buttons'>{MENU}</div><p>The <a href=x>last link</a></p></article><div>{plain_words('q', 15)}</div>", f"Head {plain_words('a', 40)} {plain_words('b', 200)} The last link"),
+    "plain names": (f"<article><h1>Head</h1><div class='side-by-side'><p>{plain_words('a', 5)}</p></div><section class='related-work'><p>{plain_words('b', 6)}</p></section><p>a <span class='search-term'>term</span> b</p><div class=relatedPosts>gone</div></article>", f"Head {plain_words('a', 5)} {plain_words('b', 6)} a term b"),
+}
+
+
+@pytest.mark.parametrize("kind", TEMPLATES)
+def test_html_main_templates(spark, kind):
+    template = f"<html><body><nav><ul>{'<li><a href=x>go</a></li>' * 30}</ul></nav><article><h1>Top</h1><p>{plain_words('s', 50)}</p></article><footer><div>x</div></footer></body></html>"
+    page, text = TEMPLATES[kind]
+    rows = [(0, "u", page, "clash"), (1, None, None, "x"), (2, "", "", None), (None, "u", page, "clash")] + [(k, "t", template + " " * k, "y") for k in range(10, 40)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
+    got = {(r.page_id, r.url): (r.text, r.n_chars) for r in queries.QUERIES["op7_html_main"].__globals__["extract"](df, html_main.fit(df)).collect()}
+    assert got[0, "u"] == got[None, "u"] == (text, len(text))
+    assert got[1, None] == got[2, ""] == ("", 0) and got[12, "t"][0].startswith("Top s0 ")
+    assert html_main.extract(df.limit(0), html_main.fit(df.limit(0))).count() == 0
+
+
+def test_html_main_of_malformed_pages_is_linear():
+    import time
+
+    began = time.process_time()
+    for page in ("<p>x</i>" * 50_000, "<i>" * 50_000 + "<p>x" * 50_000, "</b>" * 50_000, "<ul><li>" * 50_000, "<table><tr><td>" * 30_000, "<" * 100_000, '<p class="' * 20_000):
+        html_main.main_text(page, {})
+    assert time.process_time() - began < 20
+
+
+def test_url_filter_of_long_hosts_and_empty_tables(spark):
+    long_host = "a." * 20_000 + "spam.example"
+    rows = [(0, f"http://{long_host}/x"), (1, "http://spam.example.evil.net/x"), (2, None), (None, "http://SPAM.example?q")]
+    df = spark.createDataFrame(rows, "page_id long, url string").selectExpr("*", "'clash' as host", "1 as path")
+    got = {r.page_id if r.page_id == r.page_id else None: (r.host, r.verdict) for r in run(spark, "op9_url_filter", df).itertuples()}
+    assert got[0] == (long_host, "block") and got[1][1] == got[2][1] == "allow" and got[None] == ("spam.example", "allow")  # its path is empty, the list asks for /
+    assert len(run(spark, "op9_url_filter", df.limit(0))) == 0
+
+
 def test_url_filter(spark):
-    urls = ["https://A.Example.org/es/1", "http://example.org/en/12?x", "http://example.org/en/2", "https://com/fr/", "http://x.com/de/#a", "http://spam-farm.example.net/q", "http://notorg/", None, "", "nothing", "http://org", "http://org/"]
+    urls = ["https://A.Example.org/es/1", "http://example.org/en/12?x", "http://example.org/en/2", "https://com/fr/", "http://x.com/de/#a", "http://a.spam.example.net/q", "http://notorg/", None, "", "nothing", "http://org", "http://org/"]
     pages = spark.createDataFrame([(i, u) for i, u in enumerate(urls + urls[:1])], "page_id long, url string")
     got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in run(spark, "op9_url_filter", pages).itertuples()}
     assert len(got) == len(urls) + 1
