@@ -2,7 +2,8 @@
 
 A listed URL is a host (which stands for its subdomains too) and the start of a
 path. A page's candidate keys are the suffixes of its host, at label bounds,
-with the starts of its path in the lengths that are listed. The filter passes
+with the starts of its path in the lengths that are listed. Only as many labels at
+a host's end are taken as the longest listed host has. The filter passes
 the keys that may be listed; the join with the list itself removes the false
 positives, so the filter decides speed only, never a verdict.
 
@@ -95,12 +96,14 @@ def match_urls(pages: DataFrame, listed: DataFrame, url: str = "url") -> DataFra
     keys = listed_keys(listed).select("key", "level", "verdict", F.col("host").alias("rule_host"))
     keys = keys.groupBy("key", "level").agg(F.min("verdict").alias("verdict"), F.max(F.length("rule_host")).alias("host_len"))
     n_keys = keys.count()
-    lengths = [r[0] for r in listed_keys(listed).select(F.length(F.coalesce("path", F.lit("")))).distinct().collect()]
+    bounds = listed_keys(listed).agg(F.collect_set(F.length(F.coalesce("path", F.lit("")))).alias("lengths"), F.max(F.size(F.split("host", r"\."))).alias("labels")).first()
+    lengths, most_labels = bounds["lengths"], bounds["labels"]
     if not lengths:
         return spark.createDataFrame([], "host string, path string, level int, rule string, verdict string")
     urls = pages.select(host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path")).where("host <> ''").distinct()
-    labels = F.split("host", r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    # the end of the host, with as many labels as a listed host can have, and one more to tell that it goes on
+    urls = urls.withColumn("labels", F.split(F.substring_index("host", ".", -(most_labels + 1)), r"\.")).withColumn("labels", F.slice("labels", F.greatest(F.size("labels") - most_labels + 1, F.lit(1)), F.lit(most_labels)))
+    suffixes = F.transform(F.sequence(F.lit(1), F.size("labels")), lambda i: F.array_join(F.slice("labels", i, F.size("labels")), "."))
     wanted = F.filter(F.array(*[F.lit(n) for n in sorted(lengths)]), lambda n: n <= F.length("path"))
     candidates = F.flatten(F.transform(suffixes, lambda s: F.transform(wanted, lambda n: F.concat(s, F.substr(F.col("path"), F.lit(1), n)))))
     exploded = urls.select("host", "path", F.explode(F.array_distinct(candidates)).alias("key"))
