@@ -25,14 +25,19 @@ SYMBOLS = "#*$%&|<>"
 WINDOW = 5
 
 #: (measure, least, greatest, from): None means no bound; a rule holds for texts of at
-#: least `from` words. Hard rules are those of the base.
+#: least `from` words. Ratios are in hundredths and compared in whole numbers. Hard rules are those of the base.
 HARD_RULES = (("n_words", 10, None, 0), ("repeat_pct", None, 20, 0))
 RULES = HARD_RULES + (
-    ("mean_word", 2.0, 12.0, 0),
-    ("symbol_ratio", None, 0.4, 0),
-    ("stop_ratio", 0.02, None, 40),
-    ("dup_line_ratio", None, 0.5, 0),
+    ("mean_word_pct", 200, 1200, 0),
+    ("symbol_pct", None, 40, 0),
+    ("stop_pct", 2, None, 40),
+    ("dup_line_pct", None, 50, 0),
 )
+#: A ratio's measures: a hundred times the first over the second.
+RATIOS = {
+    "repeat_pct": ("n_repeat_words", "n_words"), "mean_word_pct": ("word_chars", "n_words"), "symbol_pct": ("n_symbols", "n_words"),
+    "stop_pct": ("n_stop", "n_words"), "dup_line_pct": ("n_dup_lines", "n_lines"),
+}
 
 
 def _windows(w: Column, size: int) -> Column:
@@ -80,39 +85,30 @@ def measures(docs: DataFrame, text: str = "text", size: int = WINDOW) -> DataFra
     return df.withColumns({f"_qr_{k}": v.cast("long") for k, v in values.items()}).drop("_qr_t", "_qr_w", "_qr_win", "_qr_placed", "_qr_lines")
 
 
-def _value(name: str) -> Column:
+def _sides(name: str) -> tuple[Column, Column]:
+    """What a measure is compared by: value and unit, value >= bound * unit; whole numbers."""
     m = lambda x: F.col(f"_qr_{x}")
-    per = lambda a, b: m(a) / F.greatest(m(b), F.lit(1))
-    ratios = {
-        "repeat_pct": ("n_repeat_words", "n_words"), "mean_word": ("word_chars", "n_words"), "symbol_ratio": ("n_symbols", "n_words"),
-        "stop_ratio": ("n_stop", "n_words"), "dup_line_ratio": ("n_dup_lines", "n_lines"),
-    }
     if name in MEASURES:
-        return m(name)
-    return per(*ratios[name]) * (100 if name == "repeat_pct" else 1)
+        return m(name), F.lit(1)
+    part, whole = RATIOS[name]
+    return 100 * m(part), F.greatest(m(whole), F.lit(1))
 
 
 def compile_rules(rules) -> Column:
     """One boolean expression: true if the row breaks a rule of the table."""
     broken = F.lit(False)
     for name, least, most, start in rules:
-        v, holds = _value(name), F.col("_qr_n_words") >= start
+        (value, unit), holds = _sides(name), F.col("_qr_n_words") >= start
         if least is not None:
-            broken = broken | (holds & (v < F.lit(least)))
+            broken = broken | (holds & (value < F.lit(least) * unit))
         if most is not None:
-            broken = broken | (holds & (v > F.lit(most)))
+            broken = broken | (holds & (value > F.lit(most) * unit))
     return broken
 
 
 def apply_rules(docs: DataFrame, rules=RULES, hard=HARD_RULES, text: str = "text") -> DataFrame:
     """The input columns with the measures (_qr_<name>), _qr_base_failed and _qr_kept."""
-    failed = _base_failed() if hard == HARD_RULES else compile_rules(hard)
-    return measures(docs, text).withColumn("_qr_base_failed", failed).withColumn("_qr_kept", ~F.col("_qr_base_failed") & ~compile_rules(rules))
-
-
-def _base_failed() -> Column:
-    """HARD_RULES in whole numbers."""
-    return (F.col("_qr_n_words") < 10) | (100 * F.col("_qr_n_repeat_words") > 20 * F.col("_qr_n_words"))
+    return measures(docs, text).withColumn("_qr_base_failed", compile_rules(hard)).withColumn("_qr_kept", ~F.col("_qr_base_failed") & ~compile_rules(rules))
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
