@@ -2,12 +2,12 @@
 
 Targets: a share of all tokens by weight, none above `cap` times its source's
 size; the excess goes to the others by weight. Rates: each document is taken
-rate times, and the rates are the ones closest in entropy to the even rate
-that meet each source's target. Their dual is convex with one unknown a
-source: rate = cap * sigmoid(prior + lambda), which is an exponential tilt kept
-under the cap. Newton steps on sums over the documents find lambda; without priors the rates of a source
-are all alike, target by size, and no step is needed. Rounding:
-documents of one source and size form a class; classes are taken from the
+rate times, and the rates are the ones closest in entropy to the base rate of each document
+(cap / 2 without a prior) that give each source its target of tokens. Their dual is convex with one unknown lambda a
+source: rate = cap * sigmoid(prior + lambda * size / mean size), an exponential tilt by the document's tokens kept
+under the cap: a source that must grow takes more of its long documents, for they cost the least entropy a token. Distributed Newton
+steps, each one sum over the documents' classes, find lambda; a bracket that each sum narrows catches steps that go too far. Rounding:
+documents of one source, prior and size form a class; classes are taken from the
 longest down, each passing its rounding error on to the next, so that a source
 ends within a few words of its target. Inside a class the copies are dealt
 out over hash buckets, and then by the order of a hash of the id, so no class
@@ -40,6 +40,10 @@ def count_words(text: Column) -> Column:
     return F.coalesce(F.size(F.array_remove(F.split(flat, " "), "")), F.lit(0)).cast("long")
 
 
+def text_key(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
+
+
 def source_key(source: Column) -> Column:
     """Orders sources by code point with null last, and never is null itself."""
     return F.coalesce(F.concat(F.lit("s"), source.cast("string")), F.lit("t"))
@@ -64,27 +68,34 @@ def targets_of(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: flo
     return full.select("skey", "source_size", F.least("_cap", F.coalesce(level * F.col("_w"), F.col("_cap"))).alias("target"))
 
 
+def rate_of(prior: Column, lam: Column, size: Column, mean: Column, cap: float) -> Column:
+    """Copies of a document: the base rate, tilted by its size."""
+    return F.lit(float(cap)) / (1 + F.exp(-(prior + lam * size / mean)))
+
+
 def balance(classes: DataFrame, targets: DataFrame, cap: float = CAP, most: int = NEWTON_STEPS) -> DataFrame:
-    """lambda of each source: Newton steps on the dual, each one sum over (skey, prior, tokens), until every target is met.
+    """lam and mean (the mean size) of each source: Newton steps on the dual, each one sum over (skey, prior, size, n), until every target is met.
 
-    The start is the solution for even priors; without priors it is the answer and no step is taken. The least and the
-    greatest prior of a source bound its lambda; a step beyond the bounds, which each sum narrows, is replaced by their
+    If the share p of its size is wanted from a source, each class alone would need lambda = (logit p - prior) * mean / size; the
+    least and the greatest of these bracket the answer. A step beyond the bracket, which each sum narrows, is replaced by its
     middle. Targets of nothing or of the whole cap need no step.
     """
-    even = F.col("target") / (F.col("source_size") * float(cap) - F.col("target"))
     inside = (F.col("target") > 0) & (F.col("target") < F.col("source_size") * float(cap))
-    span = classes.where("tokens > 0").groupBy("skey").agg(F.min("prior").alias("_least"), F.max("prior").alias("_most"))
-    start = targets.join(span, "skey", "left").withColumn("lam", F.when(inside, F.log(F.when(inside, even).otherwise(1.0))).otherwise(0.0))
-    columns = ["skey", "source_size", "target", "lam", "low", "high"]
-    lam = cut(start.withColumn("low", F.col("lam") - F.coalesce("_most", F.lit(0.0))).withColumn("high", F.col("lam") - F.coalesce("_least", F.lit(0.0))).select(*columns))
+    odds = F.log(F.when(inside, F.col("target") / (F.col("source_size") * float(cap) - F.col("target"))).otherwise(1.0))
+    counted = targets.join(classes.where("size > 0").groupBy("skey").agg((F.sum("tokens") / F.sum("n")).alias("mean")), "skey", "left").withColumn("odds", odds).withColumn("mean", F.coalesce("mean", F.lit(1.0)))
+    alone = (F.col("odds") - F.col("prior")) * F.col("mean") / F.col("size")
+    edges = classes.where("size > 0").join(counted.select("skey", "odds", "mean"), "skey").groupBy("skey").agg(F.min(alone).alias("low"), F.max(alone).alias("high"))
+    columns = ["skey", "source_size", "target", "mean", "lam", "low", "high"]
+    bounded = counted.join(edges, "skey", "left").withColumn("low", F.coalesce("low", F.lit(0.0))).withColumn("high", F.coalesce("high", F.lit(0.0)))
+    lam = cut(bounded.withColumn("lam", F.greatest("low", F.least("high", F.col("odds")))).select(*columns))
     for _ in range(most):
-        rate = F.lit(float(cap)) / (1 + F.exp(-(F.col("prior") + F.col("lam"))))
-        sums = classes.join(lam.select("skey", "lam"), "skey").groupBy("skey").agg(
-            F.sum(F.col("tokens") * rate).alias("got"), F.sum(F.col("tokens") * rate * (1 - rate / float(cap))).alias("slope")
+        rate = rate_of(F.col("prior"), F.col("lam"), F.col("size"), F.col("mean"), cap)
+        sums = classes.join(lam.select("skey", "lam", "mean"), "skey").groupBy("skey").agg(
+            F.sum(F.col("tokens") * rate).alias("got"), F.sum(F.col("tokens") * F.col("size") / F.col("mean") * rate * (1 - rate / float(cap))).alias("slope")
         )
         now = cut(lam.join(sums, "skey", "left").withColumn("miss", F.when(inside, F.col("target") - F.col("got")).otherwise(0.0)))
         if now.where(F.abs("miss") > TOLERANCE * F.col("target")).isEmpty():
-            return now.select("skey", "source_size", "target", "lam")
+            return now.select("skey", "source_size", "target", "mean", "lam")
         low, high = F.when(F.col("miss") > 0, F.col("lam")).otherwise(F.col("low")), F.when(F.col("miss") < 0, F.col("lam")).otherwise(F.col("high"))
         moved = now.withColumn("low", low).withColumn("high", high).withColumn("_to", F.col("lam") + F.when(F.col("slope") > 0, F.col("miss") / F.col("slope")))
         held = F.when((F.col("_to") >= F.col("low")) & (F.col("_to") <= F.col("high")), F.col("_to")).otherwise((F.col("low") + F.col("high")) / 2)
@@ -93,27 +104,27 @@ def balance(classes: DataFrame, targets: DataFrame, cap: float = CAP, most: int
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", weights=WEIGHTS, share: float = SHARE, cap: int = CAP, prior: Column | None = None) -> DataFrame:
-    """id_col, size, source_size, target, rate, copies, taken for each row.
+    """id_col, key (a hash of the text), size, source_size, target, rate, copies, taken for each row.
 
-    prior: log-odds of a document's rate before balancing (0 if not given).
+    prior: log-odds of a document's base rate over the cap, before balancing (0 if not given).
     """
     prior = F.lit(0.0) if prior is None else F.round(F.coalesce(prior.cast("double"), F.lit(0.0)), 2)
-    rows = docs.select(F.col(id_col).alias("_id"), count_words(F.col(text)).alias("size"), source_key(F.col(source)).alias("skey"), prior.alias("prior"))
-    rows = cut(rows.withColumn("_h", F.xxhash64("_id", "size")).withColumn("bucket", F.expr(f"pmod(shiftright(_h, 40), {BUCKETS})").cast("int")))
+    rows = docs.select(F.col(id_col).alias("_id"), count_words(F.col(text)).alias("size"), source_key(F.col(source)).alias("skey"), prior.alias("prior"), text_key(F.col(text)).alias("key"))
+    rows = cut(rows.withColumn("_h", F.xxhash64("_id", "key")).withColumn("bucket", F.expr(f"pmod(shiftright(_h, 40), {BUCKETS})").cast("int")))
     key = ["skey", "prior", "size"]
     counts = rows.groupBy(*key, "bucket").agg(F.count("*").alias("m"))
     classes = cut(counts.groupBy(*key).agg(F.sum("m").alias("n"))).withColumn("tokens", F.col("n") * F.col("size"))
     targets = cut(targets_of(classes.groupBy("skey").agg(F.sum("tokens").alias("source_size")), weights, share, cap))
-    lam = cut(balance(classes.groupBy("skey", "prior").agg(F.sum("tokens").alias("tokens")), targets, cap))
+    lam = cut(balance(classes, targets, cap))
     dealt = cut(_deal_classes(classes, lam, cap))
     within = Window.partitionBy(*key).orderBy("bucket")
     share_of = lambda upto: F.floor(upto * F.col("extra") / F.col("n"))
     quota = counts.join(dealt, key).withColumn("_upto", F.sum("m").over(within)).select(
         *key, "bucket", "base", "rate", (share_of(F.col("_upto")) - share_of(F.col("_upto") - F.col("m"))).alias("quota")
     )
-    place = F.row_number().over(Window.partitionBy(*key, "bucket").orderBy("_h", "_id"))
+    place = F.row_number().over(Window.partitionBy(*key, "bucket").orderBy("_h", "_id", "key"))
     out = rows.withColumn("_p", place).join(quota, [*key, "bucket"]).withColumn("copies", F.col("base") + (F.col("_p") <= F.col("quota")).cast("long"))
-    return out.join(targets, "skey").select(F.col("_id").alias(id_col), "size", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    return out.join(targets, "skey").select(F.col("_id").alias(id_col), "key", "size", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def _deal_classes(classes: DataFrame, lam: DataFrame, cap: int) -> DataFrame:
@@ -123,7 +134,7 @@ def _deal_classes(classes: DataFrame, lam: DataFrame, cap: int) -> DataFrame:
     longest down. A source's array holds sizes, not documents, and the sizes of
     a corpus grow as the root of its words at most.
     """
-    rated = classes.join(lam, "skey").withColumn("rate", F.when(F.col("target") >= F.col("source_size") * float(cap), F.lit(float(cap))).when(F.col("target") <= 0, F.lit(0.0)).otherwise(F.lit(float(cap)) / (1 + F.exp(-(F.col("prior") + F.col("lam"))))))
+    rated = classes.join(lam, "skey").withColumn("rate", F.when(F.col("target") >= F.col("source_size") * float(cap), F.lit(float(cap))).when(F.col("target") <= 0, F.lit(0.0)).otherwise(rate_of(F.col("prior"), F.col("lam"), F.col("size"), F.col("mean"), cap)))
     down = Window.partitionBy("skey").orderBy(F.desc("size"), "prior")
     wanted = rated.withColumn("_wish", F.sum(F.col("tokens") * F.col("rate")).over(down))
     items = F.sort_array(F.collect_list(F.struct((-F.col("size")).alias("k"), "prior", "size", "n", "rate", F.col("_wish").alias("wish"))))
@@ -141,11 +152,15 @@ def _deal_classes(classes: DataFrame, lam: DataFrame, cap: int) -> DataFrame:
     return flat.select("skey", F.col("z.items.prior").alias("prior"), F.col("z.items.size").alias("size"), n.alias("n"), F.col("z.items.rate").alias("rate"), base.alias("base"), (k - base * n).alias("extra"))
 
 
-def repeat_documents(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The documents as often as the mix takes them, with their own columns.
+def repeat_documents(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """The documents as often as the mix takes them, with their own columns. mixed: mix(...) of the same documents, with its key column.
 
-    Ids that several rows share, or null, take the copies of any one of their rows.
+    Rows that share an id are told apart by their texts. Rows that share both take the copies of all of them, dealt
+    out one by one, so that a source's target holds whatever is repeated.
     """
-    copies = mixed.groupBy(F.col(id_col).alias("_mix_id")).agg(F.max("copies").alias("_mix_n"))
-    joined = docs.join(copies, docs[id_col].eqNullSafe(copies["_mix_id"]))
-    return joined.where("_mix_n > 0").withColumn("_mix_k", F.explode(F.sequence(F.lit(1), F.col("_mix_n").cast("int")))).select(*[docs[c] for c in docs.columns])
+    copies = mixed.groupBy(F.col(id_col).alias("_mix_id"), F.col("key").alias("_mix_key")).agg(F.sum("copies").alias("_mix_n"), F.count("*").alias("_mix_m"))
+    joined = docs.join(copies, docs[id_col].eqNullSafe(copies["_mix_id"]) & (text_key(docs[text]) == copies["_mix_key"]))
+    several = Window.partitionBy("_mix_id", "_mix_key").orderBy(F.lit(0))
+    place = F.when(F.col("_mix_m") > 1, F.row_number().over(several)).otherwise(1)
+    dealt = joined.withColumn("_mix_place", place).withColumn("_mix_own", F.floor((F.col("_mix_n") + F.col("_mix_m") - F.col("_mix_place")) / F.col("_mix_m")).cast("int"))
+    return dealt.where("_mix_own > 0").withColumn("_mix_k", F.explode(F.sequence(F.lit(1), F.col("_mix_own")))).select(*[docs[c] for c in docs.columns])
