@@ -33,6 +33,8 @@ def shared_dir(spark: SparkSession) -> str:
     if named and not sc.getCheckpointDir():
         sc.setCheckpointDir(named)
     if not named and not sc.getCheckpointDir():
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and the executors share")
         sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="cinegraph-"))
     return named or sc.getCheckpointDir()
 
