@@ -103,7 +103,7 @@ def spread_shingles(rows: DataFrame, buckets: int) -> DataFrame:
                 count += 1
                 same = lambda x, m: pa.array(np.full(m, x, np.int64))
                 m = part.num_rows
-                columns = {"bucket": same(portion % buckets, m), "kind": same(0, m), "portion": same(portion, m), "doc": pa.array(np.arange(m))}
+                columns = {"bucket": pa.array((np.arange(m) + portion % buckets) % buckets), "kind": same(0, m), "portion": same(portion, m), "doc": pa.array(np.arange(m))}
                 columns |= {"id": part.column(0), "n": pa.array(size), "s1": pa.array(s1), "s2": pa.array(s2), "d1": part.column(2), "d2": part.column(3)}
                 yield _batch(_FIELDS, columns, m)
                 # a set that the portion holds already need not be counted twice

@@ -26,6 +26,7 @@ import zlib
 from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import islice
 from urllib.parse import unquote, urlparse
 
 import numpy as np
@@ -43,7 +44,7 @@ ENTRY = np.dtype([("id", "<i8"), ("flags", "<u4"), ("offset", "<u8"), ("length",
 TAIL = struct.Struct("<QII")  # entries, width, magic
 #: Input bytes (by the planner) that one shard should hold at most.
 SHARD_BYTES = 128 << 20
-#: From so many kept words, or pieces of words, on a worker keeps no more: the first that it meets hold the frequent ones.
+#: Words, and pieces of words, that a worker keeps: the first that it meets, for they hold the frequent ones.
 CACHE_WORDS = 60_000
 #: Ends a word among ids, all of which have a zero as their highest byte.
 MARK = b"\xff" * 4
@@ -100,8 +101,7 @@ class WordEncoder:
         tokenize, known = self.model.tokenize, self.pieces
         new = {p: array("I", [t.id for t in tokenize(p)]).tobytes() for p in set(mapped).difference(known) if p != "\n"}
         ids = known | new | {"\n": MARK}
-        if len(known) < CACHE_WORDS:
-            known.update(new)
+        known.update(islice(new.items(), max(0, CACHE_WORDS - len(known))))
         return b"".join(map(ids.__getitem__, mapped)).split(MARK)
 
     def _learn(self, words: list[str]) -> list[bytes]:
@@ -114,8 +114,7 @@ class WordEncoder:
         missing = [k for k, x in enumerate(found) if x is None]
         for k, x in zip(missing, self._learn([words[k] for k in missing]), strict=True):
             found[k] = x
-        if len(self.ids) < CACHE_WORDS:
-            self.ids.update(zip(words, found, strict=True))
+        self.ids.update(islice(zip(words, found, strict=False), max(0, CACHE_WORDS - len(self.ids))))
         return found
 
     def texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
