@@ -17,7 +17,8 @@ def format_size(n: Column) -> Column:
     out = F.concat(size.cast("string"), F.lit(" B"))
     for k, unit in enumerate(UNITS, 1):
         unit_size = F.lit(1024**k)
-        cents = half_even((size % unit_size) * 100, unit_size) if k < 6 else F.floor((size % unit_size) / unit_size * 100).cast("bigint")
+        # a hundred times the rest of an exabyte is no bigint: the rest and the unit are halved by 2^10 each, which loses less than a tie can see
+        cents = half_even((size % unit_size) * 100, unit_size) if k < 6 else half_even(F.shiftright(size % unit_size, 10) * 100, F.lit(1024**k >> 10))
         total = F.floor(size / unit_size).cast("bigint") * 100 + cents
         text = F.concat(F.floor(total / 100).cast("string"), F.lit("."), F.lpad((total % 100).cast("string"), 2, "0"), F.lit(f" {unit}"))
         out = F.when(size >= unit_size, text).otherwise(out)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from cinegraph.functions.text import BLANK, stem, strip
+from cinegraph.functions.text import BLANK, file_name, parent, raw_extension, stem, strip
 
 #: Characters that names may not hold, and brackets of other scripts.
 INVALID = r'[<>:"/\\|?*]'
@@ -22,6 +22,9 @@ METADATA_MARKERS = (
 )
 #: One leading bracket of the five kinds, up to the first closer of its kind.
 BRACKETED = r"\[[^\]]*\]|\([^)]*\)|（[^）]*）|【[^】]*】|［[^］]*］"
+#: The words that a clean name leaves out, and what brackets are spaced by: a mark before an opening one, a mark after a closing one.
+NOISE_WORDS = ("copy", "duplicate")
+BEFORE_OPENING, AFTER_CLOSING = r"(?U)(?<=[^(\[\s])([(\[])", r"(?U)([)\]])(?=[^)\](\[\s])"
 DIGITS_WIDE, DIGITS = "０１２３４５６７８９", "0123456789"
 
 
@@ -31,11 +34,11 @@ def standardize_stem(name: Column) -> Column:
     copy_number = F.regexp_extract(x, rf"(?U)\({BLANK}*(\d+){BLANK}*\){BLANK}*$", 1)
     is_year = F.regexp_like(copy_number, F.lit(r"^(?:19|20)\d\d$"))
     x = strip(F.when((copy_number != "") & ~is_year, F.regexp_replace(x, rf"(?U)\({BLANK}*\d+{BLANK}*\){BLANK}*$", "")).otherwise(x))
-    for word in ("copy", "duplicate"):
+    for word in NOISE_WORDS:
         x = F.regexp_replace(x, rf"(?iU)(?:^|{BLANK}){word}(?:{BLANK}|$)", " ")
     x = F.translate(x, WIDE_BRACKETS, BRACKETS)
-    x = F.regexp_replace(x, r"(?U)(?<=[^(\[\s])([(\[])", " $1")
-    x = F.regexp_replace(x, r"(?U)([)\]])(?=[^)\](\[\s])", "$1 ")
+    x = F.regexp_replace(x, BEFORE_OPENING, " $1")
+    x = F.regexp_replace(x, AFTER_CLOSING, "$1 ")
     x = F.btrim(F.regexp_replace(x, rf"(?U){BLANK}+", " "), F.lit(" ."))
     return F.coalesce(F.nullif(x, F.lit("")), strip(name))
 
@@ -45,9 +48,16 @@ def standard_file_name(name: Column, ext: str = ".mp4") -> Column:
 
 
 def parse_part(stem_: Column) -> Column:
-    """struct(prefix, suffix, part), or null if the stem is no part of a split file."""
-    forms = [F.when(F.regexp_like(stem_, F.lit(p)), F.struct(F.regexp_extract(stem_, p, 1).alias("prefix"), F.lit("").alias("suffix"), F.translate(F.regexp_extract(stem_, p, 2), DIGITS_WIDE, DIGITS).cast("decimal(38,0)").alias("part"))) for p in PART_FORMS]
-    return F.when(~F.regexp_like(stem_, F.lit(MERGED)), F.coalesce(*forms))
+    """struct(prefix, suffix, part), or null if the stem is no part of a split file.
+
+    The prefix of the first form that fits decides; no prefix is empty, so an empty extract means no match.
+    """
+    number = F.regexp_extract(stem_, r"(?U)(\d+)$", 1)
+    prefix = F.coalesce(*[F.nullif(F.regexp_extract(stem_, p, 1), F.lit("")) for p in PART_FORMS])
+    # the number follows its prefix: the forms differ in where a run of digits is cut only by what must stand before it
+    part = F.translate(F.substr(stem_, F.length(prefix) + 1), DIGITS_WIDE, DIGITS).cast("decimal(38,0)")
+    fits = (number != "") & prefix.isNotNull() & ~F.regexp_like(stem_, F.lit(MERGED))
+    return F.when(fits, F.struct(prefix.alias("prefix"), F.lit("").alias("suffix"), part.alias("part")))
 
 
 def is_metadata_tag(tag: Column) -> Column:
@@ -83,5 +93,31 @@ def title_without_tag(stem_: Column) -> Column:
 
 
 def proposed_tagged_name(name: Column, tag: Column) -> Column:
-    ext = F.regexp_extract(name, r"(?s).(\.[^.]+)$", 1)
+    ext = raw_extension(name)
     return F.concat(F.lit("["), tag, F.lit("] "), title_without_tag(stem(name)), ext)
+
+
+def is_untagged(stem_: Column) -> Column:
+    return leading_tag(stem_).isNull()
+
+
+def parse_part_file(path: Column) -> Column:
+    """struct(path, parent, prefix, suffix, part) of a part file, or null. Parent, prefix and suffix are its group."""
+    parsed = parse_part(stem(file_name(path)))
+    return F.when(parsed.isNotNull(), F.struct(path.alias("path"), parent(path).alias("parent"), parsed["prefix"].alias("prefix"), parsed["suffix"].alias("suffix"), parsed["part"].alias("part")))
+
+
+def merged_stem(prefix: Column, suffix: Column, first: Column, last: Column) -> Column:
+    return standardize_stem(F.concat(prefix, first.cast("string"), F.lit("to"), last.cast("string"), suffix))
+
+
+def numbered(name: Column, number: Column) -> Column:
+    """The name itself for 1, else with __number before its ending."""
+    ext = raw_extension(name)
+    return F.when(number <= 1, name).otherwise(F.concat(stem(name), F.lit("__"), number.cast("string"), ext))
+
+
+def compounded(name: Column, tries: Column) -> Column:
+    """A name after so many collisions in the trash: each one adds its number to the name before (x, x__1, x__1__2)."""
+    marks = F.when(tries > 0, F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(tries, F.lit(1))), lambda k: F.concat(F.lit("__"), k.cast("string"))), "")).otherwise("")
+    return F.concat(stem(name), marks, raw_extension(name))

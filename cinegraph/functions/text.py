@@ -23,6 +23,11 @@ def stem(name: Column) -> Column:
     return F.regexp_replace(name, r"(?s)(?<=.)\.[^.]+$", "")
 
 
+def raw_extension(name: Column) -> Column:
+    """The last extension as it is written, with its dot, or an empty text."""
+    return F.regexp_extract(name, r"(?s).(\.[^.]+)$", 1)
+
+
 def extension(name: Column) -> Column:
     """The last extension in lower case with its dot, or an empty text."""
     return F.lower(F.regexp_extract(name, r"(?s).(\.[^.]+)$", 1))

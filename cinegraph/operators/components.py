@@ -11,14 +11,26 @@ from pyspark.sql import functions as F
 MOST_ROUNDS = 60
 
 
-def _cut(df: DataFrame) -> DataFrame:
+def written(df: DataFrame) -> DataFrame:
+    """Writes the rows to the shared folder; only a local session may have one of its own."""
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
         named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and the executors share")
         sc.setCheckpointDir(named or "file://" + tempfile.mkdtemp(prefix="cinegraph-"))
     return df.checkpoint(eager=True)
 
 
+def discard(df: DataFrame) -> None:
+    """Removes the files of rows that written() wrote and that are not read again."""
+    where = df._jdf.queryExecution().logical().rdd().getCheckpointFile()
+    if where.isDefined():
+        sc = df.sparkSession.sparkContext
+        path = sc._jvm.org.apache.hadoop.fs.Path(where.get())
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     """Links each node's larger neighbours to the least of its neighbourhood."""
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -41,10 +53,11 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     round writes the edges to the shared folder, so that lost executors cost no
     recomputation. Hubs are reduced by partial sums, and the join can be split by AQE.
     """
-    now = _cut(edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u is not null and v is not null and u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    now = written(edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u is not null and v is not null and u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     mark = None
     for _ in range(MOST_ROUNDS):
-        now = _cut(_small_star(_large_star(now)))
+        before, now = now, written(_small_star(_large_star(now)))
+        discard(before)
         seen = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if (seen["n"], seen["h"]) == mark:
             break

@@ -36,3 +36,24 @@ def rank_for_keep(files: DataFrame, group: str, ties: list[str], pixels: str = "
     near = F.coalesce(F.abs(known - F.col("median_duration")), F.lit(float("inf")))
     order = [F.desc(F.coalesce(pixels, F.lit(0))), F.desc(F.coalesce(bit_rate, F.lit(0))), near, F.desc(F.coalesce(size, F.lit(0))), *ties]
     return files.withColumn("median_duration", F.median(known).over(w)).withColumn("rank", F.row_number().over(w.orderBy(*order)))
+
+
+def keep_or_remove(files: DataFrame, digest: str = "digest", path: str = "path") -> DataFrame:
+    """The files that have copies, with keep: the path that stays. Partial sums find it, so a digest of many copies is no single task's."""
+    groups = files.where(F.col(digest).isNotNull()).groupBy(digest).agg(F.count("*").alias("group_size"), F.min_by(path, F.struct(*cleanliness(F.col(path)), F.col(path))).alias("keep")).where("group_size > 1")
+    return files.join(groups, digest)
+
+
+def resolve(files: DataFrame, group: str, ties: list[str], **columns: str) -> DataFrame:
+    """The best file of each group; a group of one keeps its file."""
+    return rank_for_keep(files, group, ties, **columns).where("rank = 1").drop("rank")
+
+
+def quality_score(width: Column, height: Column, bit_rate: Column, duration: Column) -> Column:
+    """Pixels, bit rate and whole seconds; what is unknown is 0."""
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    return F.struct((zero(width).cast("bigint") * zero(height).cast("bigint")).alias("pixels"), zero(bit_rate).cast("bigint").alias("bit_rate"), zero(duration).cast("bigint").alias("seconds"))
+
+
+def safe_size(size: Column) -> Column:
+    return F.coalesce(size, F.lit(0)).cast("bigint")

@@ -1,4 +1,9 @@
-"""Perceptual similarity: a band join on duration, then distances of hash arrays in Arrow batches."""
+"""Perceptual similarity: a band join on duration, whose blocks are compared as matrices of hashes.
+
+Durations fall in bands as wide as the tolerance, so a match is in the same or the next band. A band of many items is cut into
+slices, and each task compares two slices: neither a hot duration nor the items of unknown duration, which match all, are
+ever in one task or held at once. Only pairs that match leave a task.
+"""
 
 from __future__ import annotations
 
@@ -9,24 +14,37 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cinegraph.operators.components import written
+
+#: Seconds that durations may differ by; a good frame, the share of them, and the average distance that make two items alike.
 TOLERANCE = 60
 GOOD_FRAME, GOOD_RATIO, THRESHOLD = 8, 0.6, 10.0
+#: Items of a slice, and the hash distances that are held at once.
+SLICE, HELD = 4096, 1 << 20
+FAR = 255
 
 
 def guarded_pairs(items: DataFrame, key: str, duration: str, tolerance: float = TOLERANCE) -> DataFrame:
     """Pairs a < b whose durations differ by the tolerance at most; an unknown duration pairs with all.
 
-    Durations fall in bands as wide as the tolerance, so a match is in the same or the next band:
-    an equi-join with a residual, never a product. Unknown durations are few and join by their own leg.
+    An equi-join by band with a residual. Items of unknown duration meet all others by blocks, since every pair of them is a result.
     """
-    one = items.select(F.col(key).alias("a"), F.col(duration).alias("da"))
-    two = items.select(F.col(key).alias("b"), F.col(duration).alias("db"))
-    band = lambda c: F.floor(F.col(c) / tolerance)
-    left = one.where("da is not null").withColumn("band", F.explode(F.array(band("da") - 1, band("da"), band("da") + 1)))
-    near = left.join(two.where("db is not null").withColumn("band", band("db")), "band").where((F.col("a") < F.col("b")) & (F.abs(F.col("da") - F.col("db")) <= tolerance)).select("a", "b")
-    open_one = one.where("da is null").select("a").join(two.select("b"), F.col("a") < F.col("b"))
-    open_two = one.where("da is not null").select("a").join(two.where("db is null").select("b"), F.col("a") < F.col("b"))
-    return near.unionByName(open_one).unionByName(open_two)
+    rows = items.select(F.col(key).alias("k"), F.col(duration).alias("d"))
+    band = F.floor(F.col("d") / tolerance)
+    one = rows.where("d is not null").select(F.col("k").alias("a"), F.col("d").alias("da"), F.explode(F.array(band - 1, band, band + 1)).alias("band"))
+    two = rows.where("d is not null").select(F.col("k").alias("b"), F.col("d").alias("db"), band.alias("band"))
+    near = one.join(two, "band").where((F.col("a") < F.col("b")) & (F.abs(F.col("da") - F.col("db")) <= tolerance)).select("a", "b")
+    unknown = rows.where("d is null")
+    counts = rows.agg(F.count("*").alias("n"), F.count_if(F.col("d").isNull()).alias("m")).first()
+    if not counts["m"]:
+        return near
+    left, right = -(-counts["m"] // SLICE), -(-counts["n"] // SLICE)
+    deal = lambda df, n, name: df.withColumn(name, F.pmod(F.xxhash64("k"), F.lit(n)))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    x = deal(unknown, left, "i").select(F.col("k").alias("x"), "i", every(right).alias("j"))
+    y = deal(rows, right, "j").select(F.col("k").alias("y"), F.col("d").isNotNull().alias("known"), "j", every(left).alias("i"))
+    wide = x.join(y, ["i", "j"]).where((F.col("x") < F.col("y")) | (F.col("known") & (F.col("x") > F.col("y"))))
+    return near.unionByName(wide.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
 
 
 def best_match(query: Column, target: Column) -> Column:
@@ -34,37 +52,134 @@ def best_match(query: Column, target: Column) -> Column:
     return F.transform(query, lambda x: F.array_min(F.transform(target, lambda y: F.bit_count(x.bitwiseXOR(y)))))
 
 
-def pair_distances(pairs: DataFrame) -> DataFrame:
-    """a, b, sig_a, sig_b to a, b, avg_distance, good_ratio; the shorter signature is the query."""
+def padded(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """A list array of hashes as a matrix (rows, longest), and the rows' lengths."""
+    offsets = lists.offsets.to_numpy().astype(np.int64)
+    n = np.diff(offsets)
+    flat = lists.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]].view(np.uint64)
+    out = np.zeros((len(n), max(1, int(n.max(initial=0)))), np.uint64)
+    row = np.repeat(np.arange(len(n)), n)
+    out[row, np.arange(len(flat)) - np.repeat(offsets[:-1] - offsets[0], n)] = flat
+    return out, n
+
+
+def distances(x: np.ndarray, nx: np.ndarray, y: np.ndarray, ny: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Average distance and share of good frames of pairs of signatures, row by row; the shorter is the query, x at a tie."""
+    d = np.bitwise_count(x[:, :, None] ^ y[:, None, :])
+    if (nx != x.shape[1]).any():
+        d[np.arange(x.shape[1])[None, :] >= nx[:, None]] = FAR
+    if (ny != y.shape[1]).any():
+        d.swapaxes(1, 2)[np.arange(y.shape[1])[None, :] >= ny[:, None]] = FAR
+    average, good = np.empty(len(x)), np.empty(len(x))
+    for rows, axis, n in ((np.flatnonzero(nx <= ny), 2, nx), (np.flatnonzero(nx > ny), 1, ny)):
+        best = (d if len(rows) == len(d) else d[rows]).min(axis)
+        real = best < FAR
+        average[rows] = (best * real).sum(1, dtype=np.int64) / n[rows]
+        good[rows] = (best <= GOOD_FRAME).sum(1) / n[rows]
+    return average, good
+
+
+def _blocks(items: DataFrame, tolerance: float) -> DataFrame:
+    """The items (k, d, s) once for each block (band, kind, i, j) that they are in. kind 0: slices of a band; 1: of it and the next; 2: of unknown durations and all."""
+    known = items.where("d is not null").withColumn("band", F.floor(F.col("d") / tolerance))
+    slices = known.groupBy("band").agg(F.ceil(F.count("*") / SLICE).alias("own"))
+    sizes = slices.join(slices.select((F.col("band") - 1).alias("band"), F.col("own").alias("next")), "band", "left").join(slices.select((F.col("band") + 1).alias("band"), F.col("own").alias("before")), "band", "left")
+    placed = known.join(sizes, "band").withColumn("at", F.pmod(F.xxhash64("k"), F.col("own")))
+    none = F.array().cast("array<struct<band:bigint,kind:int,i:bigint,j:bigint,side:int>>")
+    block = lambda band, kind, i, j, side: F.struct(band.cast("bigint").alias("band"), F.lit(kind).alias("kind"), i.cast("bigint").alias("i"), j.cast("bigint").alias("j"), F.lit(side).alias("side"))
+    upto = lambda first, end, make: F.when(first < end, F.transform(F.sequence(first, end - 1), make)).otherwise(none)
+    at, band, zero = F.col("at"), F.col("band"), F.lit(0).cast("bigint")
+    homes = F.concat(
+        upto(at, F.col("own"), lambda j: block(band, 0, at, j, 0)), upto(zero, at, lambda i: block(band, 0, i, at, 1)),
+        upto(zero, F.coalesce("next", zero), lambda j: block(band, 1, at, j, 0)), upto(zero, F.coalesce("before", zero), lambda i: block(band - 1, 1, i, at, 1)),
+    )
+    near = placed.select("k", "d", "s", F.explode(homes).alias("b")).select("k", "d", "s", "b.*")
+    counts = items.agg(F.count("*").alias("n"), F.count_if(F.col("d").isNull()).alias("m")).first()
+    if not counts["m"]:
+        return near
+    left, right = -(-counts["m"] // SLICE), -(-counts["n"] // SLICE)
+    mine = lambda n: F.pmod(F.xxhash64("k"), F.lit(n))
+    one = items.where("d is null").select("k", "d", "s", F.explode(F.transform(F.sequence(zero, F.lit(right - 1).cast("bigint")), lambda j: block(zero, 2, mine(left), j, 0))).alias("b"))
+    two = items.select("k", "d", "s", F.explode(F.transform(F.sequence(zero, F.lit(left - 1).cast("bigint")), lambda i: block(zero, 2, i, mine(right), 1))).alias("b"))
+    return near.unionByName(one.unionByName(two).select("k", "d", "s", "b.*"))
+
+
+def similar_pairs(items: DataFrame, key: str, duration: str, signature: str, threshold: float = THRESHOLD, tolerance: float = TOLERANCE, good_ratio: float = GOOD_RATIO) -> DataFrame:
+    """a, b, avg_distance, good_ratio of the guarded pairs a < b that are alike: by the average distance or the share of good frames.
+
+    Items without a frame are like none.
+    """
+    # signatures are read several times below, so they are made and written once
+    rows = written(items.select(F.col(key).alias("k"), F.col(duration).cast("double").alias("d"), F.col(signature).alias("s"))).where(F.size("s") > 0)
+    kind = rows.schema["k"].dataType.simpleString()
+    names = ["a", "b", "avg_distance", "good_ratio"]
+
+    def compare(left: pa.RecordBatch, right: pa.RecordBatch | None) -> Iterator[pa.RecordBatch]:
+        other = left if right is None else right
+        (x, nx), (y, ny) = padded(left.column(2)), padded(other.column(2))
+        kx, ky, dx, dy = (c.to_numpy(zero_copy_only=False) for c in (left.column(0), other.column(0), left.column(1), other.column(1)))
+        step = max(1, HELD // (x.shape[1] * y.shape[1]))
+        for rows in np.array_split(np.arange(len(kx)), max(1, -(-len(kx) * len(ky) // (8 * step)))):
+            gap = np.abs(dx[rows, None] - dy[None, :])
+            open_ = np.isnan(dx[rows])[:, None]
+            if right is None:
+                wanted = (kx[rows, None] < ky[None, :]) & (gap <= tolerance)
+            elif open_.any():  # unknown against all: two of them meet twice
+                wanted = (kx[rows, None] < ky[None, :]) | (~np.isnan(dy)[None, :] & (kx[rows, None] > ky[None, :]))
+            else:
+                wanted = gap <= tolerance
+            i, j = np.nonzero(wanted)
+            i = rows[i]
+            for at in range(0, len(i), step):
+                p, q = i[at : at + step], j[at : at + step]
+                swap = kx[p] > ky[q]  # at equal lengths the lesser key is the query
+                tie = swap & (nx[p] == ny[q])
+                average, good = distances(x[p], nx[p], y[q], ny[q])
+                if tie.any():
+                    average[tie], good[tie] = distances(y[q[tie]], ny[q[tie]], x[p[tie]], nx[p[tie]])
+                alike = np.flatnonzero((average <= threshold) | (good >= good_ratio))
+                if len(alike):
+                    a, b = np.where(swap, ky[q], kx[p])[alike], np.where(swap, kx[p], ky[q])[alike]
+                    yield pa.RecordBatch.from_arrays([pa.array(a, left.schema[0].type), pa.array(b, left.schema[0].type), pa.array(average[alike]), pa.array(good[alike])], names=names)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, ([], [])
+
+        def finish() -> Iterator[pa.RecordBatch]:
+            whole = [pa.Table.from_batches(side).combine_chunks().to_batches()[0] if side else None for side in held]
+            if now[1] == 0 and now[2] == now[3]:
+                yield from compare(whole[0], None)
+            elif whole[0] is not None and whole[1] is not None:
+                yield from compare(*whole)
+
         for batch in batches:
-            avg, good = [], []
-            for x, y in zip(batch.column("sig_a"), batch.column("sig_b"), strict=True):
-                p, q = (np.asarray(s.values).view(np.uint64) if s.is_valid else np.zeros(0, np.uint64) for s in (x, y))
-                if not len(p) or not len(q):
-                    avg.append(float("inf"))
-                    good.append(0.0)
-                    continue
-                query, target = (p, q) if len(p) <= len(q) else (q, p)
-                best = np.bitwise_count(query[:, None] ^ target[None, :]).min(1)
-                avg.append(float(best.mean()))
-                good.append(float((best <= GOOD_FRAME).mean()))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(avg), pa.array(good)], names=["a", "b", "avg_distance", "good_ratio"])
-
-    return pairs.select("a", "b", "sig_a", "sig_b").mapInArrow(work, "a long, b long, avg_distance double, good_ratio double")
-
-
-def similar_pairs(items: DataFrame, key: str, duration: str, signature: str, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
-    """Guarded pairs whose average distance or share of good frames makes them alike."""
-    sig = items.select(F.col(key).alias("k"), F.col(signature).alias("s"))
-    pairs = guarded_pairs(items, key, duration, tolerance)
-    joined = pairs.join(sig.select(F.col("k").alias("a"), F.col("s").alias("sig_a")), "a").join(sig.select(F.col("k").alias("b"), F.col("s").alias("sig_b")), "b")
-    return pair_distances(joined).where((F.col("avg_distance") <= threshold) | (F.col("good_ratio") >= GOOD_RATIO))
-
-
-def sample_offsets(length: Column, frames: int = 15) -> Column:
-    """Offsets of evenly spaced frames on 10 % to 90 % of a length; the middle for one frame."""
-    if frames == 1:
-        return F.array(length * 0.5)
-    return F.transform(F.sequence(F.lit(0), F.lit(frames - 1)), lambda i: length * (F.lit(0.1) + F.lit(0.8) / (frames - 1) * i))
+            blocks = np.stack([batch.column(c).to_numpy() for c in range(3, 8)], axis=1)
+            cuts = np.flatnonzero(np.concatenate([[True], (blocks[1:] != blocks[:-1]).any(1)])).tolist() if len(blocks) else []
+            for a, b in zip(cuts, [*cuts[1:], len(blocks)], strict=True):
+                block = tuple(blocks[a, :4].tolist())
+                if block != now:
+                    if held[0] or held[1]:
+                        yield from finish()
+                    now, held = block, ([], [])
+                held[int(blocks[a, 4])].append(batch.select([0, 1, 2]).slice(a, b - a))
+        if held[0] or held[1]:
+            yield from finish()
+
+    dealt = _blocks(rows, tolerance).select("k", "d", "s", "band", "kind", "i", "j", "side").repartition("band", "kind", "i", "j").sortWithinPartitions("band", "kind", "i", "j", "side")
+    return dealt.mapInArrow(work, f"a {kind}, b {kind}, avg_distance double, good_ratio double")
+
+
+def near_hashes(items: DataFrame, key: str, value: str, most: int, bits: int = 64) -> DataFrame:
+    """a, b, distance: pairs a < b of hashes that differ in `most` bits at most.
+
+    The bits are cut into most + 1 pieces; such a pair has one piece in common, so it meets by an equi-join on the pieces, and the
+    first piece that it shares reports it.
+    """
+    cuts = [bits * k // (most + 1) for k in range(most + 2)]
+    rows = items.select(F.col(key).alias("k"), F.col(value).alias("v"))
+    pieces = F.array(*[F.shiftrightunsigned("v", lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1)) for lo, hi in zip(cuts[:-1], cuts[1:], strict=True)])
+    spread = rows.withColumn("p", pieces).select("k", "v", "p", F.posexplode("p").alias("at", "piece"))
+    one, two = spread.select(*[F.col(c).alias(f"{c}1") if c not in ("at", "piece") else F.col(c) for c in spread.columns]), spread.select(*[F.col(c).alias(f"{c}2") if c not in ("at", "piece") else F.col(c) for c in spread.columns])
+    met = one.join(two, ["at", "piece"]).where("k1 < k2").withColumn("distance", F.bit_count(F.col("v1").bitwiseXOR(F.col("v2")))).where(F.col("distance") <= most)
+    first = F.array_position(F.zip_with("p1", "p2", lambda x, y: x == y), True) - 1
+    return met.where(first == F.col("at")).select(F.col("k1").alias("a"), F.col("k2").alias("b"), F.col("distance").cast("int").alias("distance"))

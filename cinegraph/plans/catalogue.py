@@ -10,13 +10,16 @@ from pyspark.sql import functions as F
 from cinegraph.functions.formats import format_bitrate, format_duration, format_size
 from cinegraph.functions.names import leading_tag, parse_part, standard_file_name, standardize_stem, title_without_tag
 from cinegraph.operators.components import connected_components
-from cinegraph.operators.conversion import needs_codec, needs_container_or_codec, retry_ladder
+from cinegraph.operators.conversion import needs_codec, needs_container_or_codec, needs_conversion, needs_rename, remuxes, retry_ladder
 from cinegraph.operators.duplicates import exact_groups, keep_cleanest, rank_for_keep
-from cinegraph.operators.media_index import cache_misses, last_known, prune
+from cinegraph.operators.media_index import cache_misses, content_fingerprint, last_known, prune
 from cinegraph.operators.parts import contiguous_runs, run_summary
 from cinegraph.operators.similarity import guarded_pairs, similar_pairs
 from cinegraph.operators.tags import metadata_fit, tag_profiles
 
+#: Tag profiles that are sent to each task at once.
+PROFILES = 100_000
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -151,7 +154,8 @@ def page_title_cleanup(spark, d):
 @query("SELECT l_orderkey, l_linenumber, l_partkey, regexp_extract(n, '^(.+?_part_)\\d+$', 1) AS prefix, CAST(regexp_extract(n, '(\\d+)$', 1) AS BIGINT) AS part FROM (SELECT *, 'O' || l_orderkey || '_part_' || l_linenumber AS n FROM lineitem)")
 def parse_parts(spark, d):
     name = F.concat(F.lit("O"), "l_orderkey", F.lit("_part_"), "l_linenumber")
-    parsed = read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", parse_part(name).alias("p"))
+    named = read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", name.alias("name"))
+    parsed = named.select("l_orderkey", "l_linenumber", "l_partkey", parse_part(F.col("name")).alias("p"))
     return parsed.select("l_orderkey", "l_linenumber", "l_partkey", "p.prefix", F.col("p.part").cast("long").alias("part"))
 
 
@@ -207,22 +211,48 @@ def tag_profile_table(spark, d):
 
 @query(f"SELECT p_partkey, tag, round(abs(p_retailprice - median_duration) / median_duration + abs(p_size / 10 - median_aspect), 6) AS fit FROM part, ({_PROFILES})")
 def metadata_fit_scores(spark, d):
-    # one row a tag, with the tags counted: the profiles are a bounded side
     parts = read(spark, d, "part").select("p_partkey", "p_retailprice", (F.col("p_size") / 10).alias("aspect"))
     fit = metadata_fit(F.col("p_retailprice"), F.col("aspect"), F.col("median_duration"), F.col("median_aspect"))
-    return parts.join(_profiles(spark, d)).select("p_partkey", "tag", F.round(fit, 6).alias("fit"))
+    profiles = _profiles(spark, d)  # every file meets every profile: the profiles go to each task, in parts of a bounded size
+    fits = None
+    for at in range(0, max(1, profiles.count()), PROFILES):
+        some = profiles.orderBy("tag").offset(at).limit(PROFILES)
+        one = parts.join(F.broadcast(some))
+        fits = one if fits is None else fits.unionByName(one)
+    return fits.select("p_partkey", "tag", F.round(fit, 6).alias("fit"))
+
+
+_CODECS = """SELECT *, 'Film ' || o_orderkey || CASE WHEN o_orderkey % 3 = 0 THEN ' copy' ELSE '' END || ext AS name, video = 'H264' AND (audio IS NULL OR lower(audio) = 'aac') AS target FROM (SELECT o_orderkey, o_orderkey % 5 <> 0 AS readable,
+ CASE WHEN o_orderstatus = 'F' THEN '.mp4' ELSE '.mkv' END AS ext, CASE WHEN o_orderpriority LIKE '1%' OR o_orderpriority LIKE '2%' THEN 'H264' ELSE 'vp9' END AS video, [NULL, 'aac', '', 'AC3'][o_orderkey % 4 + 1] AS audio FROM orders)"""
 
 
-@query("""SELECT o_orderkey, CASE WHEN o_orderstatus = 'X' THEN false WHEN o_orderstatus <> 'F' THEN true ELSE NOT (o_orderpriority LIKE '1%') END AS needs_codec, o_orderstatus <> 'F' OR NOT (o_orderpriority LIKE '1%') AS needs_work FROM orders""")
+@query(f"""SELECT o_orderkey, needs_rename, needs_codec, ext <> '.mp4' OR needs_codec AS needs_work, needs_rename OR needs_codec AS needs_conversion, ext <> '.mp4' AND target AS remux
+FROM (SELECT *, ext <> '.mp4' OR name LIKE '% copy%' AS needs_rename, readable AND (ext <> '.mp4' OR NOT target) AS needs_codec FROM ({_CODECS}))""")
 def conversion_candidates(spark, d):
-    ext, video = F.when(F.col("o_orderstatus") == "F", ".mp4").otherwise(".mkv"), F.when(F.startswith("o_orderpriority", F.lit("1")), "H264").otherwise("vp9")
-    args = (F.lit(True), ext, video, F.lit("aac"))
-    return read(spark, d, "orders").select("o_orderkey", needs_codec(*args).alias("needs_codec"), needs_container_or_codec(*args).alias("needs_work"))
+    key = F.col("o_orderkey")
+    ext, video = F.when(F.col("o_orderstatus") == "F", ".mp4").otherwise(".mkv"), F.when(F.regexp_like("o_orderpriority", F.lit("^[12]")), "H264").otherwise("vp9")
+    audio = F.when(key % 4 == 1, "aac").when(key % 4 == 2, "").when(key % 4 == 3, "AC3")
+    rows = read(spark, d, "orders").select("o_orderkey", (key % 5 != 0).alias("readable"), ext.alias("ext"), video.alias("video"), audio.alias("audio"))
+    rows = rows.withColumn("name", F.concat(F.lit("Film "), key, F.when(key % 3 == 0, " copy").otherwise(""), "ext"))
+    args = [F.col(c) for c in ("readable", "ext", "video", "audio")]
+    return rows.select(
+        "o_orderkey", needs_rename(F.col("name")).alias("needs_rename"), needs_codec(*args).alias("needs_codec"), needs_container_or_codec(*args).alias("needs_work"), needs_conversion(F.col("name"), *args).alias("needs_conversion"), remuxes(*args[1:]).alias("remux")
+    )
+
+
+#: Start quality, start scale and whether there is a budget.
+_LADDERS = [(18, 1.0, 1), (19, 1.0, 1), (30, 0.7, 1), (40, 1.0, 1), (51, 0.4, 1), (18, 1.0, 0)]
 
 
-@query("SELECT CAST(i AS INTEGER) AS attempt, CAST(least(32, 18 + 2 * i) AS INTEGER) AS crf, round(pow(0.9, greatest(i - 7, 0)), 6) AS scale FROM range(10) t(i)")
+@query(f"""SELECT CAST(c AS INTEGER) AS start_crf, CAST(s AS DOUBLE) AS start_scale, CAST(b AS INTEGER) AS budget, CAST(k AS INTEGER) AS attempt, CAST(CASE WHEN k <= falls THEN least(greatest(c, 32), c + 2 * k) ELSE greatest(c, 32) END AS INTEGER) AS crf,
+ round(CAST(s AS DOUBLE) * pow(0.9, greatest(k - falls, 0)), 6) AS scale FROM (SELECT *, greatest(0, CAST(ceil((32 - c) / 2) AS INTEGER)) AS falls FROM (VALUES {", ".join(map(str, _LADDERS))}) t(c, s, b)), range(10) r(k)
+WHERE (b = 1 OR k = 0) AND (k <= falls OR s * pow(0.9, k - falls - 1) > 0.5)""")
 def crf_ladder(spark, d):
-    return retry_ladder(spark)
+    out = None
+    for crf, scale, budget in _LADDERS:
+        one = retry_ladder(spark, crf, scale, budget).select(F.lit(crf).alias("start_crf"), F.lit(scale).alias("start_scale"), F.lit(budget).alias("budget"), "attempt", "crf", "scale")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 @query("SELECT user_id, arg_max(event_type, (ts, event_id)) AS event_type, arg_max(value, (ts, event_id)) FILTER (value IS NOT NULL) AS value FROM events GROUP BY 1")
@@ -236,10 +266,12 @@ def index_prune(spark, d):
     return prune(read(spark, d, "orders"), found, "o_custkey").select("o_orderkey")
 
 
-@query("SELECT c_custkey FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey)")
+@query("SELECT c_custkey FROM customer WHERE c_custkey % 3 = 0 OR c_nationkey >= 20")
 def index_cache_misses(spark, d):
-    files = read(spark, d, "customer").select(F.col("c_custkey").alias("path"), F.lit(1).alias("content_fingerprint"))
-    return cache_misses(files, read(spark, d, "orders").select(F.col("o_custkey").alias("path"), F.lit(1).alias("content_fingerprint"))).select(F.col("path").alias("c_custkey"))
+    customers = read(spark, d, "customer")
+    files = customers.select(F.col("c_custkey").alias("path"), content_fingerprint(F.col("c_nationkey"), F.lit(7)).alias("content_fingerprint"))
+    index = customers.where("c_custkey % 3 <> 0").select(F.col("c_custkey").alias("path"), content_fingerprint(F.col("c_nationkey") % 20, F.lit(7)).alias("content_fingerprint"))
+    return cache_misses(files, index).select(F.col("path").alias("c_custkey"))
 
 
 @query("SELECT doc_id, CASE WHEN s < 1024 THEN s || ' B' WHEN s < 1048576 THEN printf('%.2f KB', s / 1024.0) WHEN s < 1073741824 THEN printf('%.2f MB', s / 1048576.0) ELSE printf('%.2f GB', s / 1073741824.0) END AS size FROM (SELECT doc_id, n_chars * n_chars AS s FROM documents)")
@@ -258,7 +290,7 @@ def format_bitrates(spark, d):
 
 
 @query(f"""SELECT 'exact' AS phase, count(*) AS actions FROM ({_RANKED}) WHERE n > 1 AND rank > 1 UNION ALL SELECT 'merge', count(*) FROM ({_MERGES})
-UNION ALL SELECT 'convert', count(*) FROM orders WHERE o_orderstatus <> 'F' OR NOT (o_orderpriority LIKE '1%')""")
+UNION ALL SELECT 'convert', count(*) FROM ({_CODECS}) WHERE ext <> '.mp4' OR readable AND NOT target""")
 def pipeline_summary(spark, d):
     count = lambda df, phase: df.agg(F.count("*").alias("actions")).select(F.lit(phase).alias("phase"), "actions")
     return count(exact_keep_remove(spark, d).where("rank > 1"), "exact").unionByName(count(_merge_groups(spark, d), "merge")).unionByName(count(conversion_candidates(spark, d).where("needs_work"), "convert"))

@@ -8,11 +8,16 @@ from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+#: Rows that Spark sends to a Python worker at once: rows here hold whole texts, and both sides hold a batch.
+BATCH_ROWS, DEFAULT_ROWS, TEXT_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "2048"
+
 _shipped: set[str] = set()
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Adds this package to the workers' path, once for each application."""
+    """Adds this package to the workers' path, once for each application, and bounds the rows of a batch, if the session has Spark's default."""
+    if spark.conf.get(BATCH_ROWS) == DEFAULT_ROWS:
+        spark.conf.set(BATCH_ROWS, TEXT_ROWS)
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
