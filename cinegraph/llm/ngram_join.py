@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from cinegraph.llm.common import NULL_ID, cut, drop, planned_bytes, small_batches, whole_text
 from cinegraph.llm.shingle_hash import gram_hashes, hash_words, mix
-from cinegraph.llm.word_index import index_words, portions
+from cinegraph.llm.word_index import index_words, portions, tidy
 from cinegraph.operators.components import connected_components
 
 SHINGLE = 5
@@ -121,7 +121,7 @@ def spread_shingles(rows: DataFrame, buckets: int) -> DataFrame:
                 pack = lambda x, starts=starts, ends=ends: pa.array([x[a:b].tobytes() for a, b in zip(starts.tolist(), ends, strict=True)], pa.binary())
                 yield _batch(_FIELDS, {"bucket": pa.array(bucket[starts]), "kind": same(1, len(starts)), "portion": same(portion, len(starts)), "tokens": pack(tokens), "owners": pack(owners)}, len(starts))
 
-    return rows.mapInArrow(work, _FIELDS)
+    return rows.mapInArrow(tidy(work), _FIELDS)
 
 
 def count_shingles(spread: DataFrame) -> DataFrame:
@@ -300,7 +300,7 @@ def sets_of(rows: DataFrame, classes: DataFrame, nodes: DataFrame) -> DataFrame:
             for part in portions(batch, 1):
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.tobytes() for s in shingle_sets(part.column(1))], pa.binary())], names=["node", "set"])
 
-    return found.mapInArrow(work, "node long, set binary").groupBy("node").agg(F.first("set").alias("set"))  # equal rows have equal sets
+    return found.mapInArrow(tidy(work), "node long, set binary").groupBy("node").agg(F.first("set").alias("set"))  # equal rows have equal sets
 
 
 def compare(sets: DataFrame, pairs: DataFrame) -> DataFrame:

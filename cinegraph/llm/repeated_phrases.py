@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from cinegraph.llm.common import NULL_ID, cut, small_batches, whole_text
 from cinegraph.llm.shingle_hash import gram_hashes, hash_words, mix, sliding_min, span_hashes
-from cinegraph.llm.word_index import WordIndex, index_words, portions
+from cinegraph.llm.word_index import WordIndex, index_words, portions, tidy
 
 SIZE, GRAM = 13, 5
 #: Documents of a shard that has an automaton of its own.
@@ -83,7 +83,7 @@ def document_segments(docs: DataFrame, size: int, gram: int) -> DataFrame:
                 key, seg, owner, same = key[fresh], seg[fresh], owner[fresh], same[fresh]
                 yield pa.RecordBatch.from_arrays([pa.array(np.where(same, FULL, OPEN).astype(np.int32)), _signed(key), _signed(seg), pa.array(owner)], names=["state", "key", "seg", "id"])
 
-    return docs.mapInArrow(work, "state int, key long, seg long, id long")
+    return docs.mapInArrow(tidy(work), "state int, key long, seg long, id long")
 
 
 def settle(rows: DataFrame) -> DataFrame:
@@ -177,7 +177,7 @@ def open_windows(rows: DataFrame, size: int, gram: int) -> DataFrame:
                 fresh = ~same | (np.concatenate([[0], owner[:-1]])[: len(owner)] != owner)
                 yield pa.RecordBatch.from_arrays([pa.array(np.where(same, FULL, OPEN)[fresh].astype(np.int32)), _signed(p1[fresh]), _signed(p2[fresh]), pa.array(owner[fresh])], names=["state", "p1", "p2", "id"])
 
-    return rows.mapInArrow(work, "state int, p1 long, p2 long, id long")
+    return rows.mapInArrow(tidy(work), "state int, p1 long, p2 long, id long")
 
 
 def confirm(windows: DataFrame) -> DataFrame:
@@ -304,4 +304,4 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
                     names=[id_col, "n_words", "n_removed", "kept", "kept_sha256"],
                 )
 
-    return joined.mapInArrow(finish, f"`{id_col}` long, n_words long, n_removed long, kept string, kept_sha256 string")
+    return joined.mapInArrow(tidy(finish), f"`{id_col}` long, n_words long, n_removed long, kept string, kept_sha256 string")

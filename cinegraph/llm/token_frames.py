@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cinegraph.llm.common import cut, planned_bytes, scratch_path, small_batches, whole_text
-from cinegraph.llm.word_index import index_words, portions
+from cinegraph.llm.word_index import index_words, portions, tidy
 
 END_ID = 1
 MAGIC = 0x43464D53
@@ -45,7 +45,7 @@ TAIL = struct.Struct("<QII")  # entries, width, magic
 #: Input bytes (by the planner) that one shard should hold at most.
 SHARD_BYTES = 128 << 20
 #: Words, and pieces of words, that a worker keeps: the first that it meets, for they hold the frequent ones.
-CACHE_WORDS = 60_000
+CACHE_WORDS = 150_000
 #: Ends a word among ids, all of which have a zero as their highest byte.
 MARK = b"\xff" * 4
 
@@ -160,7 +160,7 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, bounds: list[int], vo
                     names=["part", "id", "n", "crc", "frame"],
                 )
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), whole_text(text).alias("text")).mapInArrow(encode, schema)
+    return docs.select(F.col(id_col).cast("long").alias("id"), whole_text(text).alias("text")).mapInArrow(tidy(encode), schema)
 
 
 def range_bounds(docs: DataFrame, id_col: str, shards: int) -> list[int]:

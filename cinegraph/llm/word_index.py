@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import ctypes
-import itertools
 import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -14,7 +13,6 @@ import pyarrow.compute as pc
 
 #: The allocator's own way to shrink, where it has one.
 _trim = getattr(ctypes.CDLL(None), "malloc_trim", None) if sys.platform == "linux" else None
-_batches = itertools.count()
 #: Rows and bytes of text that are split at once; a longer text is split alone.
 ROWS, BYTES = 2048, 8 << 20
 
@@ -62,12 +60,15 @@ def portions(batch: pa.RecordBatch, column: int | str, rows: int = ROWS, size: i
         end = min(at + rows, max(at + 1, int(np.searchsorted(ends, used + size, side="right"))), batch.num_rows)
         yield batch.slice(at, end - at)
         at = end
-    if next(_batches) % 4 == 3:
-        give_back()
 
 
-def give_back() -> None:
-    """Returns freed memory to the system: workers stay between stages, and what they keep is missing to the next one."""
-    pa.default_memory_pool().release_unused()
-    if _trim is not None:
-        _trim(0)
+def tidy(work):
+    """The worker function, which returns freed memory to the system at its end: workers stay between stages, and what they keep is missing to the next one."""
+
+    def run(batches):
+        yield from work(batches)
+        pa.default_memory_pool().release_unused()
+        if _trim is not None:
+            _trim(0)
+
+    return run

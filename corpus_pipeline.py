@@ -56,7 +56,8 @@ STAGES = [
     ("token frames", token_frames),
 ]
 
-#: The stages solve a dual, compare whole sets and encode with a tokenizer, which SQL cannot. Tests compare operators, and stage 2 on null and shared ids, with brute force or known rows; no test compares all of run() so.
+#: The stages solve a dual, compare whole sets and encode with a tokenizer, which SQL cannot. A test compares run() with plain Python:
+#: which documents come out, their ids and order exactly, and each source's words with its target.
 ORACLE_SQL = None
 
 

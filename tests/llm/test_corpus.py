@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from cinegraph.llm import decontaminate, html_main, ngram_join, queries, repeated_phrases, secrets, source_mix, token_frames, url_filter
+from cinegraph.llm import decontaminate, html_main, ngram_join, quality_rules, queries, repeated_phrases, secrets, source_mix, token_frames, url_filter
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 BASE = " ".join(f"w{i % 97}x{i % 13}" for i in range(300))
@@ -474,6 +474,29 @@ def test_decontamination_of_long_items(spark):
     assert all(got[k, k] == 1 for k, _ in items)
 
 
+def test_extra_columns_null_ids_and_repeated_rows(spark):
+    """Columns of clashing names stay or are not read; rows without an id and repeated rows are judged one by one."""
+    import corpus_pipeline
+
+    long = " ".join(f"the w{k}" for k in range(40))
+    rows = [(1, long, 5), (1, long, 5), (None, long, 6), (None, None, 7), (2, "", 8), (3, "the the the the the " * 9, 9)]
+    names = ["n_words", "kept", "size", "n", "key", "spans", "rid", "token", "shard", "_id"]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_words long").selectExpr("*", *[f"concat('x', n_words) as `{c}`" for c in names if c != "n_words"], "'s' as source")
+    kept = quality_rules.keep_good(df)
+    assert kept.columns == df.columns and sorted(r["n_words"] for r in kept.collect()) == [5, 5, 6]
+    for q, n in (("op2_token_frames", 6), ("op3_source_mix", 6), ("op4_pii", 6), ("op5_quality_rules", 6), ("op6_repeated_phrases", 6), ("op8_secrets", 6), ("op10_ngram_join", 6)):
+        assert len(run(spark, q, df)) == n, q
+    phrases = run(spark, "op6_repeated_phrases", df).fillna(-1)
+    assert sorted(zip(phrases.doc_id, phrases.n_words, phrases.n_removed, strict=True)) == [(-1, 0, 0), (-1, 80, 80), (1, 80, 0), (1, 80, 0), (2, 0, 0), (3, 45, 0)]
+    stayed = corpus_pipeline.near_copies(spark, df, "")
+    assert stayed.columns == df.columns and stayed.count() == 6
+    bench = spark.createDataFrame([(1, " ".join(long.split()[:30]))], "item_id long, text string")
+    clean = decontaminate.drop_leaks(df, bench)
+    assert clean.columns == df.columns and sorted(r["n_words"] for r in clean.collect()) == [7, 8, 9]
+    mixed = corpus_pipeline.mix_sources(spark, df, "")
+    assert mixed.columns == df.columns
+
+
 def test_empty_tables(spark, docs):
     none = docs.limit(0)
     for q in ("op4_pii", "op5_quality_rules", "op6_repeated_phrases", "op8_secrets", "op10_ngram_join", "op2_token_frames"):
@@ -495,8 +518,99 @@ def test_pipeline_near_copies_of_null_and_shared_ids(spark):
     assert sorted(got, key=key) == sorted([r for r in rows if r not in gone], key=key)
 
 
-def test_pipeline(spark):
+def plain_quality(t):
+    w, lines = words(t), [x for x in (t or "").split("\n") if words(x)]
+    n = len(w)
+    windows = collections.Counter(tuple(w[k : k + 5]) for k in range(n - 4))
+    again = len({j for k in range(n - 4) if windows[tuple(w[k : k + 5])] > 1 for j in range(k, k + 5)})
+    stop = sum(x in quality_rules.STOP_WORDS for x in w)
+    return n >= 10 and 100 * again <= 20 * n and 200 * n <= 100 * sum(map(len, w)) <= 1200 * n and 100 * sum(c in "#*$%&|<>" for c in t) <= 40 * n and (n < 40 or 100 * stop >= 2 * n) and 100 * (len(lines) - len(set(lines))) <= 50 * len(lines)
+
+
+def plain_first_copies(rows):
+    """Of linked texts those of the least id; rows without an id stay."""
+    named = [r for r in rows if r[0] is not None]
+    sets = [{" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for w in (words(r[1].lower()) for r in named)]
+    label = list(range(len(named)))
+    for _ in named:
+        for a in range(len(named)):
+            for b in range(a):
+                if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                    label[a] = label[b] = min(label[a], label[b])
+    least = {k: min(r[0] for r, x in zip(named, label, strict=True) if x == k) for k in label}
+    return [r for r, k in zip(named, label, strict=True) if r[0] == least[k]] + [r for r in rows if r[0] is None]
+
+
+def plain_leak(text, items):
+    """Whether some stretch of the text holds an item: by the longest common subsequence with every stretch of up to 1.5 times its words."""
+    w = [x.strip(".,") for x in words(text.lower())]
+    for item in items:
+        q = [x.strip(".,") for x in words((item or "").lower())]
+        n = len(q)
+        for k in range(0, max(1, len(w) - n // 2), max(1, n // 4)) if q else ():
+            part = w[k : k + n + n // 2]
+            if decontaminate.lcs_length(q, part) >= 0.7 * n and decontaminate.lcs_length(q[-max(1, n // 3) :], part) >= 0.6 * max(1, n // 3):
+                return True
+    return False
+
+
+def test_pipeline_equals_plain_stages(spark, tmp_path):
+    """run() on rows of every kind: which documents come out, how often, and their ids, against plain Python."""
+    import corpus_pipeline
+    from tokenizers import Tokenizer
+
+    rng = np.random.default_rng(8)
+    vocabulary = [f"{a}{b}" for a in ("lor", "mip", "sun", "dol", "ame", "con") for b in ("em", "ia", "or", "et", "us", "is", "an")]
+    text = lambda n: " ".join("the" if j % 9 == 0 else str(rng.choice(vocabulary)) + str(rng.integers(50)) for j in range(n))
+    items = [(k, text(25) + ".") for k in range(6)] + [(9, None)]
+    rows = [(k, text(int(rng.integers(12, 120))), "abc"[k % 3]) for k in range(60)]
+    rows += [(100 + k, rows[k][1], rows[k][2]) for k in range(5)] + [(110 + k, rows[k][1].rsplit(" ", 1)[0] + " changed", "b") for k in range(20, 24)]
+    rows += [(130 + k, f"{text(30)} {items[k][1].upper() if k % 2 else items[k][1]} {text(20)}", "c") for k in range(4)]
+    rows += [(140, "too short", "a"), (141, "x " * 60, "a"), (142, "### $$$ %%% &&& " * 20, "a"), (143, None, "a"), (144, "", None), (None, text(40), "a"), (None, rows[2][1], None), (150, text(30), "b"), (150, text(35), "b"), (7, rows[7][1], "b"), (160, "é 中文 🎉 the " + text(30), None)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").selectExpr("*", "'en' as lang", "length(text) as n_chars").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = sorted((-1 if r["doc_id"] is None else r["doc_id"], r["start"], r["n_tokens"], r["ids_crc32"]) for r in corpus_pipeline.run(spark, str(tmp_path)).collect())
+    left = [r for r in plain_first_copies([r for r in rows if plain_quality(r[1])]) if not plain_leak(r[1], [t for _, t in items])]
+    assert 55 < len(left) < 70 and {r[0] for r in left}.isdisjoint({*range(100, 105), *range(130, 134), *range(140, 145)})
+    t = Tokenizer.from_file(queries.tokenizer_path())
+    entry = lambda x: (len(ids := [*t.encode(x, add_special_tokens=False).ids, 1]), zlib.crc32(np.array(ids, "<u4").tobytes()))
+    allowed = collections.Counter()
+    for i, x, _ in left:
+        allowed[-1 if i is None else i, *entry(x)] += 2  # no document more than twice
+    taken = collections.Counter((i, n, c) for i, _, n, c in got)
+    assert all(taken[k] <= allowed[k] for k in taken)
+    ends = 0
+    for _, start, n, _ in sorted(got, key=lambda r: r[1]):
+        assert start == ends
+        ends += n
+    assert [i for i, *_ in sorted(got, key=lambda r: r[1])] == sorted(i for i, *_ in got)
+    # each source's words come near its target
+    of = {(-1 if i is None else i, *entry(x)): (s, len(words(x))) for i, x, s in left}
+    sizes = collections.Counter()
+    for _, x, s in left:
+        sizes[s] += len(words(x))
+    order, weights, full = sorted(sizes, key=lambda s: (s is None, s or "")), {}, set()
+    for k, s in enumerate(order):
+        weights[s] = (3, 1, 2)[k % 3]
+    total = 1.5 * sum(sizes.values())
+    while True:
+        rest = total - sum(2 * sizes[s] for s in full)
+        share = {s: rest * weights[s] / sum(weights[x] for x in order if x not in full) for s in order if s not in full}
+        over = {s for s, v in share.items() if v > 2 * sizes[s] + 1e-9}
+        if not over:
+            break
+        full |= over
+    words_of = collections.Counter()
+    for k, n in taken.items():
+        words_of[of[k][0]] += n * of[k][1]
+    for s in order:
+        assert abs(words_of[s] - share.get(s, 2 * sizes[s])) <= 120, s
+
+
+def test_pipeline_of_an_empty_table(spark, tmp_path):
     import corpus_pipeline
 
-    out = corpus_pipeline.run(spark, "/root/testdata/sf0.001").toPandas()
-    assert len(out) and set(out.columns) == {"doc_id", "start", "n_tokens", "ids_crc32"}
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "a b c")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert out.count() == 0 and set(out.columns) == {"doc_id", "start", "n_tokens", "ids_crc32"}
