@@ -62,13 +62,18 @@ def portions(batch: pa.RecordBatch, column: int | str, rows: int = ROWS, size: i
         at = end
 
 
+def give_back() -> None:
+    """Returns freed memory to the system: workers stay between stages, and what they keep is missing to the next one."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
 def tidy(work):
-    """The worker function, which returns freed memory to the system at its end: workers stay between stages, and what they keep is missing to the next one."""
+    """The worker function, with give_back at its end."""
 
     def run(batches):
         yield from work(batches)
-        pa.default_memory_pool().release_unused()
-        if _trim is not None:
-            _trim(0)
+        give_back()
 
     return run
