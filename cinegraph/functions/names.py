@@ -50,14 +50,13 @@ def standard_file_name(name: Column, ext: str = ".mp4") -> Column:
 def parse_part(stem_: Column) -> Column:
     """struct(prefix, suffix, part), or null if the stem is no part of a split file.
 
-    The prefix of the first form that fits decides; no prefix is empty, so an empty extract means no match.
+    The prefix of the first form that fits decides, and the number is what follows it; no prefix is empty, so an empty extract means no match.
     """
-    number = F.regexp_extract(stem_, r"(?U)(\d+)$", 1)
     prefix = F.coalesce(*[F.nullif(F.regexp_extract(stem_, p, 1), F.lit("")) for p in PART_FORMS])
-    # the number follows its prefix: the forms differ in where a run of digits is cut only by what must stand before it
-    part = F.translate(F.substr(stem_, F.length(prefix) + 1), DIGITS_WIDE, DIGITS).cast("decimal(38,0)")
-    fits = (number != "") & prefix.isNotNull() & ~F.regexp_like(stem_, F.lit(MERGED))
-    return F.when(fits, F.struct(prefix.alias("prefix"), F.lit("").alias("suffix"), part.alias("part")))
+    part = lambda p: F.translate(F.substr(stem_, F.length(p) + 1), DIGITS_WIDE, DIGITS).cast("decimal(38,0)")
+    # the prefix is bound in a lambda, for its forms are tried wherever it is spelt out
+    found = F.get(F.transform(F.array(prefix), lambda p: F.when(p.isNotNull(), F.struct(p.alias("prefix"), F.lit("").alias("suffix"), part(p).alias("part")))), F.lit(0))
+    return F.when(F.regexp_like(stem_, F.lit(r"(?U)\d$")) & ~F.regexp_like(stem_, F.lit(MERGED)), found)
 
 
 def is_metadata_tag(tag: Column) -> Column:
@@ -103,8 +102,8 @@ def is_untagged(stem_: Column) -> Column:
 
 def parse_part_file(path: Column) -> Column:
     """struct(path, parent, prefix, suffix, part) of a part file, or null. Parent, prefix and suffix are its group."""
-    parsed = parse_part(stem(file_name(path)))
-    return F.when(parsed.isNotNull(), F.struct(path.alias("path"), parent(path).alias("parent"), parsed["prefix"].alias("prefix"), parsed["suffix"].alias("suffix"), parsed["part"].alias("part")))
+    whole = lambda p: F.when(p.isNotNull(), F.struct(path.alias("path"), parent(path).alias("parent"), p["prefix"].alias("prefix"), p["suffix"].alias("suffix"), p["part"].alias("part")))
+    return F.get(F.transform(F.array(parse_part(stem(file_name(path)))), whole), F.lit(0))
 
 
 def merged_stem(prefix: Column, suffix: Column, first: Column, last: Column) -> Column:

@@ -31,7 +31,9 @@ def run_summary(parts: DataFrame, keys: list[str], part: str = "part", duration:
 
 def part_files(files: DataFrame, path: str = "path") -> DataFrame:
     """The files that are parts, with parent, prefix, suffix and part; the group is (parent, prefix, suffix), case and all."""
-    return files.withColumn("_part", parse_part_file(F.col(path))).where("_part is not null").select(*[F.col(f"`{c}`") for c in files.columns if c not in ("parent", "prefix", "suffix", "part")], "_part.parent", "_part.prefix", "_part.suffix", "_part.part")
+    keep = [F.col(f"`{c}`") for c in files.columns if c not in ("parent", "prefix", "suffix", "part")]
+    found = F.filter(F.array(parse_part_file(F.col(path))), lambda p: p.isNotNull())  # exploded, so that a name is parsed once
+    return files.select(*keep, F.explode(found).alias("_part")).select(*keep, "_part.parent", "_part.prefix", "_part.suffix", "_part.part")
 
 
 def merge_groups(files: DataFrame, tolerance: float = 0.15) -> DataFrame:
