@@ -45,7 +45,9 @@ TAIL = struct.Struct("<QII")  # entries, width, magic
 #: Input bytes (by the planner) that one shard should hold at most.
 SHARD_BYTES = 128 << 20
 #: Words, and pieces of words, that a worker keeps: the first that it meets, for they hold the frequent ones.
-CACHE_WORDS = 150_000
+CACHE_WORDS = 100_000
+#: Words that are cut at once.
+BULK = 20_000
 #: Ends a word among ids, all of which have a zero as their highest byte.
 MARK = b"\xff" * 4
 
@@ -80,7 +82,7 @@ class WordEncoder:
         self.model = self.tokenizer.model
         self.letters = byte_letters() | {0: "\0", 10: "\n"}
         self.ids: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {"\n": MARK}
         whole = [self.whole(w) for w in PROBES]
         if self.whole(" ".join(PROBES)) != b"".join(whole) or self.whole(" \t\n" + PROBES[0] + "\r\n ") != whole[0]:
             raise ValueError(f"{path}: this tokenizer does not treat words one by one")
@@ -99,14 +101,17 @@ class WordEncoder:
         mapped = "\0".join(parts).encode().decode("latin-1").translate(self.letters).split("\0")
         del parts
         tokenize, known = self.model.tokenize, self.pieces
-        new = {p: array("I", [t.id for t in tokenize(p)]).tobytes() for p in set(mapped).difference(known) if p != "\n"}
-        ids = known | new | {"\n": MARK}
+        new = {p: array("I", [t.id for t in tokenize(p)]).tobytes() for p in set(mapped).difference(known)}
+        found = b"".join([known[p] if p in known else new[p] for p in mapped]).split(MARK)
         known.update(islice(new.items(), max(0, CACHE_WORDS - len(known))))
-        return b"".join(map(ids.__getitem__, mapped)).split(MARK)
+        return found
 
     def _learn(self, words: list[str]) -> list[bytes]:
         plain = [w for w in words if PLAIN.fullmatch(w) and "<|" not in w] if self.by_pieces else []
-        found = dict(zip(plain, self._bulk(plain), strict=True)) if plain else {}
+        found: dict[str, bytes] = {}
+        for at in range(0, len(plain), BULK):
+            some = plain[at : at + BULK]
+            found.update(zip(some, self._bulk(some), strict=True))
         return [found[w] if w in found else self.whole(w) for w in words]
 
     def _ids_of(self, words: list[str]) -> list[bytes]:
@@ -126,8 +131,9 @@ class WordEncoder:
         begin = np.cumsum(length) - length
         n = length[split.index]
         ends = np.cumsum(n)
-        at = np.repeat(begin[split.index] - (ends - n), n)  # a portion has fewer ids than bytes, so 32 bits would do as well
-        at += np.arange(len(at))
+        kind = np.int32 if len(flat) + (ends[-1] if len(ends) else 0) < 2**31 else np.int64
+        at = np.repeat((begin[split.index] - (ends - n)).astype(kind), n)
+        at += np.arange(len(at), dtype=kind)
         return flat[at], np.concatenate([[0], ends])[split.offsets]
 
 
