@@ -30,6 +30,8 @@ WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 #: Steps after which something must be wrong; a target is met when the rates' sum is that near to it.
 NEWTON_STEPS, TOLERANCE = 100, 1e-9
+#: At most so many rows of copies are broadcast to the documents; beyond, the join shuffles.
+BROADCAST_ROWS = 2_000_000
 #: Hash buckets of a class for dealing copies; more than a class's share of the tasks needs.
 BUCKETS = 512
 
@@ -158,9 +160,13 @@ def repeat_documents(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id",
     Rows that share an id are told apart by their texts. Rows that share both take the copies of all of them, dealt
     out one by one, so that a source's target holds whatever is repeated.
     """
-    copies = mixed.groupBy(F.col(id_col).alias("_mix_id"), F.col("key").alias("_mix_key")).agg(F.sum("copies").alias("_mix_n"), F.count("*").alias("_mix_m"))
-    joined = docs.join(copies, docs[id_col].eqNullSafe(copies["_mix_id"]) & (text_key(docs[text]) == copies["_mix_key"]))
-    several = Window.partitionBy("_mix_id", "_mix_key").orderBy(F.lit(0))
-    place = F.when(F.col("_mix_m") > 1, F.row_number().over(several)).otherwise(1)
-    dealt = joined.withColumn("_mix_place", place).withColumn("_mix_own", F.floor((F.col("_mix_n") + F.col("_mix_m") - F.col("_mix_place")) / F.col("_mix_m")).cast("int"))
-    return dealt.where("_mix_own > 0").withColumn("_mix_k", F.explode(F.sequence(F.lit(1), F.col("_mix_own")))).select(*[docs[c] for c in docs.columns])
+    copies = cut(mixed.groupBy(F.col(id_col).alias("_mix_id"), F.col("key").alias("_mix_key")).agg(F.sum("copies").alias("_mix_n"), F.count("*").alias("_mix_m")))
+    listed = F.broadcast(copies) if copies.count() <= BROADCAST_ROWS else copies  # so that the texts need no shuffle
+    joined = docs.join(listed, docs[id_col].eqNullSafe(copies["_mix_id"]) & (text_key(docs[text]) == copies["_mix_key"]))
+    dealt = joined.where("_mix_m = 1").withColumn("_mix_own", F.col("_mix_n").cast("int"))
+    if not copies.where("_mix_m > 1").isEmpty():
+        place = F.row_number().over(Window.partitionBy("_mix_id", "_mix_key").orderBy(F.lit(0)))
+        several = joined.where("_mix_m > 1").withColumn("_mix_place", place)
+        dealt = dealt.unionByName(several.withColumn("_mix_own", F.floor((F.col("_mix_n") + F.col("_mix_m") - F.col("_mix_place")) / F.col("_mix_m")).cast("int")).drop("_mix_place"))
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    return dealt.where("_mix_own > 0").withColumn("_mix_k", F.explode(F.sequence(F.lit(1), F.col("_mix_own")))).select(*names)
