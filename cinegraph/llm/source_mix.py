@@ -31,7 +31,7 @@ SHARE = 1.5
 #: Steps after which something must be wrong; a target is met when the rates' sum is that near to it.
 NEWTON_STEPS, TOLERANCE = 100, 1e-9
 #: At most so many rows of copies are broadcast to the documents; beyond, the join shuffles.
-BROADCAST_ROWS = 2_000_000
+BROADCAST_ROWS = 500_000
 #: Hash buckets of a class for dealing copies; more than a class's share of the tasks needs.
 BUCKETS = 512
 
