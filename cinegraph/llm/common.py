@@ -49,6 +49,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Lets Spark remove the shuffle files of finished steps now: it does so when the driver collects what nothing refers to any more."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def drop(df: DataFrame) -> None:
     """Removes the files that cut(df) wrote; the rows must not be read again."""
     plan = df._jdf.queryExecution().logical()

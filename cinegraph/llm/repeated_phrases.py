@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cinegraph.llm.common import NULL_ID, cut, small_batches, whole_text
+from cinegraph.llm.common import NULL_ID, cut, free_shuffles, small_batches, whole_text
 from cinegraph.llm.shingle_hash import gram_hashes, hash_words, mix, sliding_min, span_hashes
 from cinegraph.llm.word_index import WordIndex, index_words, portions, tidy
 
@@ -278,8 +278,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     with small_batches(docs.sparkSession):
         found = settle(document_segments(rows, size, gram))
         per_doc = cut(found.groupBy("id").agg(F.collect_set(F.when(F.col("state") == FULL, mark)).alias("full"), F.collect_set(F.when(F.col("state") == OPEN, mark)).alias("opened")))
+        free_shuffles(docs.sparkSession)
         windows = open_windows(texts.join(per_doc.where(F.size("opened") > 0).select("id", "opened"), "id").select("id", "text", "opened"), size, gram)
         confirmed = cut(confirm(windows).groupBy("id").agg(F.collect_set("p1").alias("windows")))
+        free_shuffles(docs.sparkSession)
     joined = texts.join(per_doc.select("id", "full"), "id", "left").join(confirmed, "id", "left").select("id", "text", F.coalesce("full", empty).alias("full"), F.coalesce("windows", empty).alias("windows"))
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
