@@ -2,7 +2,8 @@
 
 Durations fall in bands as wide as the tolerance, so a match is in the same or the next band. A band of many items is cut into
 slices, and each task compares two slices: neither a hot duration nor the items of unknown duration, which match all, are
-ever in one task or held at once. Only pairs that match leave a task.
+ever in one task or held at once. A product of matrices bounds all pairs of two slices, and those it cannot rule out are compared
+frame by frame. Only pairs that match leave a task.
 """
 
 from __future__ import annotations
@@ -21,7 +22,14 @@ TOLERANCE = 60
 GOOD_FRAME, GOOD_RATIO, THRESHOLD = 8, 0.6, 10.0
 #: Items of a slice, and the hash distances that are held at once.
 SLICE, HELD = 4096, 1 << 20
-FAR = 255
+#: Pairs that are compared frame by frame at once, and items whose pairs are bounded at once.
+ROWS, TALL = 2048, 512
+#: Bounding pairs by sums pays from so many pairs an item on.
+PAYS = 100
+#: What is added to each product of two frames before it is squared, and the lean from which a bit is left out of the sums.
+SHIFT, LEANING = 1, 0.5
+#: Pairs of items of the same and of neighbouring bands that a task gets, on average.
+TASK_PAIRS = 1 << 25
 
 
 def guarded_pairs(items: DataFrame, key: str, duration: str, tolerance: float = TOLERANCE) -> DataFrame:
@@ -65,20 +73,98 @@ def padded(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def distances(x: np.ndarray, nx: np.ndarray, y: np.ndarray, ny: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Average distance and share of good frames of pairs of signatures, row by row; the shorter is the query, x at a tie."""
-    d = np.bitwise_count(x[:, :, None] ^ y[:, None, :])
-    if (nx != x.shape[1]).any():
-        d[np.arange(x.shape[1])[None, :] >= nx[:, None]] = FAR
-    if (ny != y.shape[1]).any():
-        d.swapaxes(1, 2)[np.arange(y.shape[1])[None, :] >= ny[:, None]] = FAR
     average, good = np.empty(len(x)), np.empty(len(x))
-    for rows, axis, n in ((np.flatnonzero(nx <= ny), 2, nx), (np.flatnonzero(nx > ny), 1, ny)):
-        best = (d if len(rows) == len(d) else d[rows]).min(axis)
-        real = best < FAR
-        average[rows] = (best * real).sum(1, dtype=np.int64) / n[rows]
-        good[rows] = (best <= GOOD_FRAME).sum(1) / n[rows]
+    for rows, *found in _matched(x, nx, y, ny, np.inf, 0):
+        average[rows], good[rows] = found
     return average, good
 
 
+def _matched(x: np.ndarray, nx: np.ndarray, y: np.ndarray, ny: np.ndarray, threshold: float, good_ratio: float, second: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Rows that are alike, with their average distance and share of good frames; a row is left as soon as its other frames cannot make it alike.
+
+    second: where y is the query at a tie.
+    """
+    for at in range(0, len(x), ROWS):
+        rows = np.arange(at, min(at + ROWS, len(x)))
+        swap = nx[rows] > ny[rows] if second is None else (nx[rows] > ny[rows]) | ((nx[rows] == ny[rows]) & second[rows])
+        n, m = np.where(swap, ny[rows], nx[rows]), np.where(swap, nx[rows], ny[rows])
+        one, two = np.zeros((2, max(x.shape[1], y.shape[1]), len(rows)), np.uint64)  # by frame, so that each step below runs over all rows
+        one[: x.shape[1]], two[: y.shape[1]] = x[rows].T, y[rows].T
+        query, target = np.where(swap, two, one), np.where(swap, one, two)
+        target = np.where(np.arange(len(target))[:, None] < m, target, target[0])  # a frame once more does not change which is nearest
+        total, good = np.zeros(len(rows), np.int64), np.zeros(len(rows), np.int64)
+        for k in range(int(n.max(initial=0))):
+            best = np.bitwise_count(query[k] ^ target[0])
+            for frame in target[1 : int(m.max())]:
+                np.minimum(best, np.bitwise_count(query[k] ^ frame), out=best)
+            real = k < n
+            total += best * real
+            good += (best <= GOOD_FRAME) & real
+            rest = np.maximum(n - k - 1, 0)
+            left = (total / n <= threshold) | ((good + rest) / n >= good_ratio)
+            if 2 * np.count_nonzero(left) < len(left):
+                rows, n, m, total, good, query, target = rows[left], n[left], m[left], total[left], good[left], query[:, left], target[:, left]
+                if not len(rows):
+                    break
+        if len(rows):
+            average, share = total / n, good / n
+            alike = (average <= threshold) | (share >= good_ratio)
+            yield rows[alike], average[alike], share[alike]
+
+
+class Sums:
+    """A bound that alike pairs reach, for all pairs of two sides by one product of matrices.
+
+    With frames as vectors of +1 and -1, x . y = bits - 2 * distance. The sum of (x . y + SHIFT) ** 2 over all pairs of frames of two items
+    is a scalar product of sums over each item's own frames: of products of two bits, of bits, and of ones. Every term is at least 0, and the terms of the frames
+    that make two items alike have a least sum, `need`. So a pair below it is not alike; what reaches it must be compared. All values are halves
+    of whole numbers that the float type holds exactly. Bits that hardly vary tell little and are left out, which lowers distances only.
+    """
+
+    def __init__(self, sides: list[tuple[np.ndarray, np.ndarray]], threshold: float, good_ratio: float):
+        frames = np.concatenate([s[np.arange(s.shape[1]) < n[:, None]] for s, n in sides])
+        lean = np.abs(2 * self.bits(frames).mean(0, dtype=np.float64) - 1)
+        self.used = np.flatnonzero(lean < LEANING)
+        b, most = len(self.used), max(s.shape[1] for s, _ in sides)
+        n = np.arange(most + 1)
+        close = lambda distance: max(0.0, b - 2 * distance + SHIFT) ** 2
+        self.need = np.minimum(n * close(threshold), np.ceil(good_ratio * n - 1e-6) * close(GOOD_FRAME)) / 2 - 0.25  # sums are halves
+        self.ones = (b + SHIFT**2) / 2
+        self.sharp = self.need[most] > most * most * self.ones  # a chance pair of whole signatures has that sum
+        self.kind = np.float32 if most * most * (b + SHIFT) ** 2 < 1 << 22 else np.float64
+        self.pairs = np.triu_indices(b, 1)
+
+    @staticmethod
+    def bits(hashes: np.ndarray) -> np.ndarray:
+        return np.unpackbits(np.ascontiguousarray(hashes).view(np.uint8).reshape(*hashes.shape, 8), axis=-1)
+
+    def of(self, s: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Each item's sums: of its frames' products of two bits, of their bits, and their number."""
+        b, cut = len(self.used), len(self.pairs[0])
+        out = np.empty((len(s), cut + b + 1), self.kind)
+        for at in range(0, len(s), 256):
+            part = slice(at, at + 256)
+            signs = 2 * self.bits(s[part])[:, :, self.used].astype(self.kind) - 1
+            signs[np.arange(s.shape[1]) >= n[part, None]] = 0
+            out[part, :cut] = (signs.swapaxes(1, 2) @ signs).reshape(len(signs), -1)[:, self.pairs[0] * b + self.pairs[1]]
+            out[part, cut:-1] = signs.sum(1)
+        out[:, -1] = n
+        return out
+
+    def query(self, sums: np.ndarray) -> np.ndarray:
+        """The other side of the product."""
+        out = sums.copy()
+        out[:, len(self.pairs[0]) : -1] *= SHIFT
+        out[:, -1] *= self.ones
+        return out
+
+    def reached(self, x: np.ndarray, nx: np.ndarray, y: np.ndarray, ny: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the pairs that may be alike. x: of query(); need grows with the frames, so the fewer of both decide by the less."""
+        sums, one, two = x @ y.T, self.need[nx].astype(self.kind), self.need[ny].astype(self.kind)
+        at = np.flatnonzero(sums >= one[0]) if (one == one[0]).all() and (two == one[0]).all() else np.flatnonzero((sums >= one[:, None]) | (sums >= two))
+        return np.divmod(at, len(y))
+
+
 def _blocks(items: DataFrame, tolerance: float) -> DataFrame:
     """The items (k, d, s) once for each block (band, kind, i, j) that they are in. kind 0: slices of a band; 1: of it and the next; 2: of unknown durations and all."""
     known = items.where("d is not null").withColumn("band", F.floor(F.col("d") / tolerance))
@@ -115,32 +201,42 @@ def similar_pairs(items: DataFrame, key: str, duration: str, signature: str, thr
     names = ["a", "b", "avg_distance", "good_ratio"]
 
     def compare(left: pa.RecordBatch, right: pa.RecordBatch | None) -> Iterator[pa.RecordBatch]:
-        other = left if right is None else right
-        (x, nx), (y, ny) = padded(left.column(2)), padded(other.column(2))
-        kx, ky, dx, dy = (c.to_numpy(zero_copy_only=False) for c in (left.column(0), other.column(0), left.column(1), other.column(1)))
+        sides = []
+        for side in [left] if right is None else [left, right]:
+            keys, d, (s, n) = side.column(0).to_numpy(zero_copy_only=False), side.column(1).to_numpy(zero_copy_only=False), padded(side.column(2))
+            order = np.argsort(d, kind="stable")  # unknown durations are last
+            sides.append((keys[order], d[order], s[order], n[order]))
+        (kx, dx, x, nx), (ky, dy, y, ny) = sides[0], sides[-1]
+        timed = not (np.isnan(dx).any() or np.isnan(dy).any())
+        sums = Sums([side[2:] for side in sides], threshold, good_ratio) if len(kx) * len(ky) > PAYS * (len(kx) + len(ky)) else None
+        sums = sums if sums and sums.sharp else None
+        if sums:
+            fy = sums.of(y, ny)
+            fx = sums.query(fy if right is None else sums.of(x, nx))
         step = max(1, HELD // (x.shape[1] * y.shape[1]))
-        for rows in np.array_split(np.arange(len(kx)), max(1, -(-len(kx) * len(ky) // (8 * step)))):
-            gap = np.abs(dx[rows, None] - dy[None, :])
-            open_ = np.isnan(dx[rows])[:, None]
+        height = TALL if sums else max(1, 8 * step // len(ky))
+        for top in range(0, len(kx), height):
+            end = min(top + height, len(kx))
+            lo, hi = (int(np.searchsorted(dy, dx[top] - tolerance, "left")), int(np.searchsorted(dy, dx[end - 1] + tolerance, "right"))) if timed else (0, len(ky))
+            lo = max(lo, top) if right is None else lo
+            if lo >= hi:
+                continue
+            i, j = sums.reached(fx[top:end], nx[top:end], fy[lo:hi], ny[lo:hi]) if sums else np.divmod(np.arange((end - top) * (hi - lo)), hi - lo)
+            i, j = i + top, j + lo
+            wanted = kx[i] != ky[j]
             if right is None:
-                wanted = (kx[rows, None] < ky[None, :]) & (gap <= tolerance)
-            elif open_.any():  # unknown against all: two of them meet twice
-                wanted = (kx[rows, None] < ky[None, :]) | (~np.isnan(dy)[None, :] & (kx[rows, None] > ky[None, :]))
-            else:
-                wanted = gap <= tolerance
-            i, j = np.nonzero(wanted)
-            i = rows[i]
+                wanted &= (i < j) & (np.abs(dx[i] - dy[j]) <= tolerance)
+            elif timed:
+                wanted &= np.abs(dx[i] - dy[j]) <= tolerance
+            else:  # unknown against all: two of them meet twice
+                wanted &= ~np.isnan(dy[j]) | (kx[i] < ky[j])
+            i, j = i[wanted], j[wanted]
             for at in range(0, len(i), step):
                 p, q = i[at : at + step], j[at : at + step]
                 swap = kx[p] > ky[q]  # at equal lengths the lesser key is the query
-                tie = swap & (nx[p] == ny[q])
-                average, good = distances(x[p], nx[p], y[q], ny[q])
-                if tie.any():
-                    average[tie], good[tie] = distances(y[q[tie]], ny[q[tie]], x[p[tie]], nx[p[tie]])
-                alike = np.flatnonzero((average <= threshold) | (good >= good_ratio))
-                if len(alike):
-                    a, b = np.where(swap, ky[q], kx[p])[alike], np.where(swap, kx[p], ky[q])[alike]
-                    yield pa.RecordBatch.from_arrays([pa.array(a, left.schema[0].type), pa.array(b, left.schema[0].type), pa.array(average[alike]), pa.array(good[alike])], names=names)
+                a, b = np.where(swap, ky[q], kx[p]), np.where(swap, kx[p], ky[q])
+                for alike, average, good in _matched(x[p], nx[p], y[q], ny[q], threshold, good_ratio, swap):
+                    yield pa.RecordBatch.from_arrays([pa.array(a[alike], left.schema[0].type), pa.array(b[alike], left.schema[0].type), pa.array(average), pa.array(good)], names=names)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, ([], [])
@@ -165,7 +261,10 @@ def similar_pairs(items: DataFrame, key: str, duration: str, signature: str, thr
         if held[0] or held[1]:
             yield from finish()
 
-    dealt = _blocks(rows, tolerance).select("k", "d", "s", "band", "kind", "i", "j", "side").repartition("band", "kind", "i", "j").sortWithinPartitions("band", "kind", "i", "j", "side")
+    # the rows are few bytes for the work that they are, so their number of tasks is not left to the planner
+    pairs = rows.groupBy(F.floor(F.col("d") / tolerance).alias("band")).agg(F.count("*").cast("double").alias("n")).agg(F.sum(F.when(F.col("band").isNull(), F.col("n") * rows.count()).otherwise(2 * F.col("n") ** 2))).first()[0] or 0
+    tasks = max(rows.sparkSession.sparkContext.defaultParallelism, int(pairs / TASK_PAIRS))
+    dealt = _blocks(rows, tolerance).select("k", "d", "s", "band", "kind", "i", "j", "side").repartition(tasks, "band", "kind", "i", "j").sortWithinPartitions("band", "kind", "i", "j", "side")
     return dealt.mapInArrow(work, f"a {kind}, b {kind}, avg_distance double, good_ratio double")
 
 

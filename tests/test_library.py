@@ -124,6 +124,47 @@ def test_similar_pairs_equal_all_pairs(spark, slice_, held, kind):
     assert sorted(map(tuple, near)) == sorted((a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and (a[1] is None or b[1] is None or abs(a[1] - b[1]) <= 60))
 
 
+@pytest.mark.parametrize("frames", [1, 5, 15])
+def test_sums_bound_alike_pairs(frames):
+    """Every alike pair reaches the bound, also at its limits, and chance pairs of whole signatures hardly do; the nearest frames are found as by comparing all."""
+    from cinegraph.operators.similarity import Sums, _matched
+
+    rng = np.random.default_rng(frames)
+    flip = lambda v, n: v ^ int(sum(1 << int(b) for b in rng.choice(60, n, replace=False)))
+    base = [[int(v) for v in rng.integers(0, 2**60, frames)] for _ in range(300)]
+    near = [[flip(v, int(rng.choice([8, 10, 11] if k % 2 else [0, 8, 30]))) for v in sig][: rng.integers(1, frames + 1)] for k, sig in enumerate(base)]
+    (x, nx), (y, ny) = padded(pa.array(base)), padded(pa.array(near))
+    sums = Sums([(x, nx), (y, ny)], 10.0, 0.6)
+    i, j = sums.reached(sums.query(sums.of(x, nx)), nx, sums.of(y, ny), ny)
+    best = np.array([[[min((u ^ v).bit_count() for v in a) for u in b] + [-1] * (frames - len(b)) for b in near] for a in base])  # the shorter is near's
+    tie = nx[:, None] == ny[None, :]
+    average, good = (best * (best >= 0)).sum(2) / ny, ((best >= 0) & (best <= 8)).sum(2) / ny
+    alike = (average <= 10) | (good >= 0.6)
+    reached = np.zeros(alike.shape, bool)
+    reached[i, j] = True
+    assert alike.sum() > 50 and reached[alike].all() and (frames < 15 or reached[ny >= 14].mean() > 0 and reached[:, ny >= 14].mean() < 0.05)
+    p, q = np.divmod(np.arange(alike.size), len(ny))
+    second = np.ones(len(p), bool)  # at a tie near is the query
+    found = {(int(p[r]), int(q[r])): (a, g) for rows, aa, gg in _matched(x[p], nx[p], y[q], ny[q], 10.0, 0.6, second) for r, a, g in zip(rows, aa, gg, strict=True)}
+    assert tie.any() and found == {(int(a), int(b)): (average[a, b], good[a, b]) for a, b in np.argwhere(alike)}
+
+
+def test_similar_pairs_of_one_duration_are_bounded(spark):
+    """Thousands of items of one duration: only pairs that the sums cannot rule out are compared frame by frame."""
+    from cinegraph.operators import similarity
+
+    rng = np.random.default_rng(5)
+    sides = [padded(pa.array([[int(v) for v in rng.integers(0, 2**60, 15)] for _ in range(1500)])) for _ in range(2)]
+    sums = similarity.Sums(sides, 10.0, 0.6)
+    i, _ = sums.reached(sums.query(sums.of(*sides[0])), sides[0][1], sums.of(*sides[1]), sides[1][1])
+    assert sums.sharp and len(i) < 0.01 * 1500**2
+    rows = [(k, 5.0, [int(v) for v in s]) for k, s in enumerate(np.concatenate([sides[0][0], sides[0][0][:40]]).astype(np.int64))]
+    rows[7] = (7, None, rows[3][2])
+    got = similarity.similar_pairs(spark.createDataFrame(rows, "k long, d double, s array<long>"), "k", "d", "s").collect()
+    want = {(k, 1500 + k) for k in range(40) if k != 7} | {(3, 7), (7, 1503)}
+    assert {(r["a"], r["b"]) for r in got} == want and len(got) == len(want) and all(r["avg_distance"] == 0 for r in got)
+
+
 def test_codec_targets(spark):
     from cinegraph.operators.conversion import codecs_are_target
 
