@@ -195,6 +195,31 @@ def similar_pairs(items: DataFrame, key: str, duration: str, signature: str, thr
 
     Items without a frame are like none.
     """
+    return _compared(items, key, duration, signature, threshold, tolerance, good_ratio, False)
+
+
+def similar_links(items: DataFrame, key: str, duration: str, signature: str, threshold: float = THRESHOLD, tolerance: float = TOLERANCE, good_ratio: float = GOOD_RATIO) -> DataFrame:
+    """a, b: of the pairs that similar_pairs lists, as many as it takes to reach the same items from each, in every block.
+
+    Many copies of an item make a row each, not one for every two of them, and two that are linked already are not compared.
+    """
+    return _compared(items, key, duration, signature, threshold, tolerance, good_ratio, True).select("a", "b")
+
+
+def _joined(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The labels after items i and j are linked: each item's is the least place that it reaches."""
+    while len(i):
+        one, two = label[i], label[j]
+        apart = one != two
+        i, j, one, two = i[apart], j[apart], one[apart], two[apart]
+        np.minimum.at(label, np.maximum(one, two), np.minimum(one, two))
+        while (label != (further := label[label])).any():
+            label = further
+    return label
+
+
+def _compared(items: DataFrame, key: str, duration: str, signature: str, threshold: float, tolerance: float, good_ratio: float, links: bool) -> DataFrame:
+    """Rows of similar_pairs, or of similar_links with both figures 0."""
     # signatures are read several times below, so they are made and written once
     rows = written(items.select(F.col(key).alias("k"), F.col(duration).cast("double").alias("d"), F.col(signature).alias("s"))).where(F.size("s") > 0)
     kind = rows.schema["k"].dataType.simpleString()
@@ -213,6 +238,8 @@ def similar_pairs(items: DataFrame, key: str, duration: str, signature: str, thr
         if sums:
             fy = sums.of(y, ny)
             fx = sums.query(fy if right is None else sums.of(x, nx))
+        second = 0 if right is None else len(kx)  # where the other side's items begin in label
+        label, every = np.arange(second + len(ky)), kx if right is None else np.concatenate([kx, ky])
         step = max(1, HELD // (x.shape[1] * y.shape[1]))
         height = TALL if sums else max(1, 8 * step // len(ky))
         for top in range(0, len(kx), height):
@@ -233,10 +260,21 @@ def similar_pairs(items: DataFrame, key: str, duration: str, signature: str, thr
             i, j = i[wanted], j[wanted]
             for at in range(0, len(i), step):
                 p, q = i[at : at + step], j[at : at + step]
+                if links:
+                    apart = label[p] != label[second + q]
+                    p, q = p[apart], q[apart]
                 swap = kx[p] > ky[q]  # at equal lengths the lesser key is the query
+                if links:
+                    for alike, *_ in _matched(x[p], nx[p], y[q], ny[q], threshold, good_ratio, swap):
+                        label = _joined(label, p[alike], second + q[alike])
+                    continue
                 a, b = np.where(swap, ky[q], kx[p]), np.where(swap, kx[p], ky[q])
                 for alike, average, good in _matched(x[p], nx[p], y[q], ny[q], threshold, good_ratio, swap):
                     yield pa.RecordBatch.from_arrays([pa.array(a[alike], left.schema[0].type), pa.array(b[alike], left.schema[0].type), pa.array(average), pa.array(good)], names=names)
+        ends = np.flatnonzero(label != np.arange(len(label)))
+        if len(ends):
+            none = pa.array(np.zeros(len(ends)))
+            yield pa.RecordBatch.from_arrays([pa.array(every[label[ends]], left.schema[0].type), pa.array(every[ends], left.schema[0].type), none, none], names=names)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, ([], [])

@@ -17,7 +17,7 @@ from cinegraph.operators.conversion import TARGET_EXT, needs_container_or_codec,
 from cinegraph.operators.duplicates import keep_or_remove, quality_score, rank_for_keep, safe_size
 from cinegraph.operators.naming import unique_names
 from cinegraph.operators.parts import merge_groups
-from cinegraph.operators.similarity import GOOD_RATIO, THRESHOLD, TOLERANCE, similar_pairs
+from cinegraph.operators.similarity import GOOD_RATIO, THRESHOLD, TOLERANCE, similar_links
 from cinegraph.operators.tags import MIN_SAMPLES, TAG_THRESHOLD, suggest_tags
 from cinegraph.sources.probe import aspect_ratio
 
@@ -50,7 +50,7 @@ def rank_groups(files: DataFrame, groups: DataFrame) -> DataFrame:
 
 def plan_perceptual(files: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE, good_ratio: float = GOOD_RATIO) -> DataFrame:
     """Of each group of files that look alike, by links of pairs, the best stays. keep actions show the ranking; they change nothing."""
-    pairs = similar_pairs(files, "path", "duration_sec", "signature", threshold, tolerance, good_ratio)
+    pairs = similar_links(files, "path", "duration_sec", "signature", threshold, tolerance, good_ratio)
     groups = connected_components(pairs, "a", "b").select(F.col("node").alias("path"), F.col("component").alias("group_id"))
     ranked = rank_groups(files, groups).withColumn("_keep", F.first("path").over(Window.partitionBy("group_id").orderBy("rank")))
     op = F.when(F.col("rank") == 1, "keep").otherwise("trash")

@@ -14,7 +14,7 @@ from cinegraph.operators.conversion import needs_codec, needs_container_or_codec
 from cinegraph.operators.duplicates import exact_groups, keep_cleanest, rank_for_keep
 from cinegraph.operators.media_index import cache_misses, content_fingerprint, last_known, prune
 from cinegraph.operators.parts import contiguous_runs, run_summary
-from cinegraph.operators.similarity import guarded_pairs, similar_pairs
+from cinegraph.operators.similarity import guarded_pairs, similar_links, similar_pairs
 from cinegraph.operators.tags import metadata_fit, tag_profiles
 
 #: Tag profiles that are sent to each task at once.
@@ -104,7 +104,7 @@ def perceptual_pairs(spark, d):
 @query(_PAIRS.replace("WITH s AS", "WITH RECURSIVE s AS", 1) + """, both_ways AS (SELECT a, b FROM edges UNION SELECT b, a FROM edges), reach AS (SELECT a AS node, a AS seen FROM both_ways UNION SELECT r.node, w.b FROM reach r JOIN both_ways w ON r.seen = w.a)
 SELECT node, min(seen) AS component FROM reach GROUP BY node""")
 def perceptual_groups(spark, d):
-    return connected_components(similar_pairs(_signed_documents(spark, d), "doc_id", "n_chars", "sig"), "a", "b")
+    return connected_components(similar_links(_signed_documents(spark, d), "doc_id", "n_chars", "sig"), "a", "b")
 
 
 _NAMES = "SELECT p_partkey, '【' || p_brand || '】' || p_name || '  (' || p_size || ') copy' AS name FROM part"

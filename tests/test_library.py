@@ -165,6 +165,22 @@ def test_similar_pairs_of_one_duration_are_bounded(spark):
     assert {(r["a"], r["b"]) for r in got} == want and len(got) == len(want) and all(r["avg_distance"] == 0 for r in got)
 
 
+@pytest.mark.parametrize("slice_", [4096, 16])
+def test_links_of_copies_are_few(spark, slice_):
+    """Links reach what all pairs reach, with a row for each copy and block instead of one for every two copies."""
+    from cinegraph.operators import similarity
+
+    rng = np.random.default_rng(6)
+    base = rng.integers(0, 2**60, (8, 15))
+    rows = [(k, None if k % 50 == 3 else float(k % 240), [int(v) ^ int(rng.integers(0, 64)) for v in base[min(7, k % 16)]]) for k in range(200)] + [(1000 + k, 5.0, [int(v) for v in rng.integers(0, 2**60, 15)]) for k in range(20)]
+    df = spark.createDataFrame(rows, "k long, d double, s array<long>")
+    with mock.patch.object(similarity, "SLICE", slice_):
+        pairs, links = similarity.similar_pairs(df, "k", "d", "s").select("a", "b"), similarity.similar_links(df, "k", "d", "s")
+        found = [{r["node"]: r["component"] for r in connected_components(edges, "a", "b").collect()} for edges in (pairs, links)]
+        assert found[0] == found[1] and len(found[0]) == 200 and len(set(found[0].values())) < 20
+        assert slice_ < 4096 or links.count() < 0.3 * pairs.count()
+
+
 def test_codec_targets(spark):
     from cinegraph.operators.conversion import codecs_are_target
 
