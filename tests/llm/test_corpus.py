@@ -449,6 +449,48 @@ def test_decontamination(spark):
     assert decontaminate.lcs_length(list("abcde"), list("xaxcxe")) == 3
 
 
+def test_decontamination_is_fitted_on_every_passage(spark):
+    """The directions equal those of a plain fit on all passages of all documents, of long ones and of those cut over several rows."""
+    import random
+
+    rng = random.Random(8)
+    words = [f"w{k}" for k in range(40)]
+    texts = [" ".join(rng.choice([*words[k % 7 : k % 7 + 12], "x", "y"]) for _ in range(n)) for k, n in enumerate([0, 1, 24, 25, 48, 49, 700, 24 * 1200 + 5, *[rng.randrange(1, 400) for _ in range(40)]])]
+    items = [(i, " ".join(rng.choice(words) for _ in range(20))) for i in range(6)]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate([*texts, None])], "doc_id long, text string")
+    part = decontaminate.build_index(docs, items, rank=5).parts[0]
+
+    blocks = [[t.split()[k : k + 24] for k in range(0, len(t.split()), 24)] for t in texts]
+    passages = [b + (of[k + 1] if k + 1 < len(of) else []) for of in blocks for k, b in enumerate(of)]
+    terms = sorted({w for _, t in items for w in t.split()})
+    idf = np.array([np.log((1 + len(passages)) / (1 + sum(w in p for p in passages))) + 0.1 for w in terms])
+    rows = lambda ps: (lambda x: x / np.maximum(np.linalg.norm(x, axis=1), 1e-9)[:, None])(np.array([[p.count(w) for w in terms] for p in ps]) * idf)
+
+    def plain(step):
+        q = np.linalg.qr(np.random.default_rng(7).standard_normal((len(terms), 5)))[0]
+        for _ in range(decontaminate.POWER_STEPS):
+            q = np.linalg.qr(step(q))[0]
+        return q @ q.T
+
+    # a passage's length is that of its words one by one
+    weights = np.array([np.sqrt(sum(idf[terms.index(w)] ** 2 for w in p if w in terms)) for p in passages])
+    a = np.array([[p.count(w) for w in terms] for p in passages]) * idf / np.maximum(weights, 1e-9)[:, None]
+    own = rows([t.split() for _, t in items])
+    share = decontaminate.ITEM_WEIGHT * max(1.0, len(passages) / len(items))
+    want = plain(lambda q: a.T @ (a @ q) + share * (own.T @ (own @ q)))
+    found = part.directions[:-1] / idf[:, None]
+    assert np.abs(found @ found.T - want).max() < 1e-3
+
+    codes, offsets = decontaminate.coded(pa.array(texts), pa.array(terms, pa.large_string()))
+    starts, owner, _ = decontaminate.blocks_of(offsets)
+    count = np.add.reduceat(np.append(codes >= 0, False).astype(int), starts)
+    with mock.patch.object(decontaminate, "ROW_BLOCKS", 3), mock.patch.object(decontaminate, "FIT_BLOCKS", 4):
+        held = list(zip(*decontaminate.packed(codes[codes >= 0].astype(np.uint16), count, owner), strict=True))
+        q, total = np.vstack([rng_q := np.random.default_rng(1).standard_normal((len(terms), 4)) * idf[:, None], np.zeros((1, 4))]), np.zeros((len(terms) + 1, 4))
+        decontaminate.gram_times(np.frombuffer(b"".join(held[0]), np.uint16), np.frombuffer(b"".join(held[1]), np.uint8), np.append(idf, 0), q, total)
+    assert np.allclose(total[:-1] * idf[:, None], a.T @ (a @ (rng_q / idf[:, None])), rtol=1e-4, atol=1e-3)
+
+
 def test_decontamination_of_a_large_benchmark(spark):
     """Many items of a common vocabulary: verbatim copies and paraphrases are found as by brute force."""
     rng = np.random.default_rng(11)
