@@ -491,6 +491,20 @@ def test_decontamination_is_fitted_on_every_passage(spark):
     assert np.allclose(total[:-1] * idf[:, None], a.T @ (a @ (rng_q / idf[:, None])), rtol=1e-4, atol=1e-3)
 
 
+def test_pipeline_decontaminates_by_every_passage(spark, tmp_path):
+    """The stage fits on all passages: what it counts is every passage of the documents, and no row goes but the leak."""
+    import corpus_pipeline
+
+    item = " ".join(f"q{k}" for k in range(30))
+    docs = spark.createDataFrame([(1, "a b c " * 400), (2, "x y " * 30 + item + " z w" * 30), (3, None)], "doc_id long, text string")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    seen = []
+    fit = decontaminate._fit_parts
+    with mock.patch.object(decontaminate, "_fit_parts", lambda passages, n, *a: seen.append((n, sum(sum(not b & decontaminate.GHOST for b in r["blocks"]) for r in passages.collect()))) or fit(passages, n, *a)):
+        left = corpus_pipeline.decontaminate(spark, docs, str(tmp_path))
+    assert sorted(r["doc_id"] for r in left.collect()) == [1, 3] and seen == [(50 + 7, 50 + 7)]
+
+
 def test_decontamination_of_a_large_benchmark(spark):
     """Many items of a common vocabulary: verbatim copies and paraphrases are found as by brute force."""
     rng = np.random.default_rng(11)
