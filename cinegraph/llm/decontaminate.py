@@ -427,15 +427,15 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_col: str = "item_id") -> DataFrame:
     """The rows that hold no item, with their own columns; no join and no shuffle."""
+    left, place = docs, docs.columns.index(text)
     for items in _parts(benchmark, item_col, text):
-        held = docs.sparkSession.sparkContext.broadcast(build_index(docs, items, text))
-        place = docs.columns.index(text)
+        held = docs.sparkSession.sparkContext.broadcast(build_index(docs, items, text))  # of all rows, not of those that earlier items left
 
-        def work(batches: Iterator[pa.RecordBatch], held=held, place=place) -> Iterator[pa.RecordBatch]:
+        def work(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for part in portions(batch, place):
                     hits = held.value.hits(part.column(place))
                     yield part.filter(pa.array([not h for h in hits], pa.bool_()))
 
-        docs = docs.mapInArrow(tidy(work), docs.schema)
-    return docs
+        left = left.mapInArrow(tidy(work), docs.schema)
+    return left

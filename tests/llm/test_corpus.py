@@ -505,6 +505,21 @@ def test_pipeline_decontaminates_by_every_passage(spark, tmp_path):
     assert sorted(r["doc_id"] for r in left.collect()) == [1, 3] and seen == [(50 + 7, 50 + 7)]
 
 
+def test_decontamination_of_a_divided_benchmark_counts_all_documents(spark):
+    """Each part of the benchmark is fitted on every passage, not on those of the rows that earlier parts left: both forms find the same rows."""
+    first, second = [[f"{c}{k}" for k in range(32)] for c in "pq"]
+    altered = [w for k, w in enumerate(second) if k % 4 != 1 or k == 1][2:]  # 23 of its 32 words: one passage
+    rows = [*((k, " ".join(first)) for k in range(20)), (100, " ".join(altered)), (101, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(1, " ".join(first)), (2, " ".join(second))], "item_id long, text string")
+    seen = []
+    fit = decontaminate._fit_parts
+    with mock.patch.object(decontaminate, "MAX_ITEMS", 1), mock.patch.object(decontaminate, "_fit_parts", lambda passages, n, *a: seen.append(n) or fit(passages, n, *a)):
+        found = {r["doc_id"] for r in decontaminate.find_leaks(docs, bench).collect()}
+        left = [r["doc_id"] for r in decontaminate.drop_leaks(docs, bench).collect()]
+    assert found == {*range(20), 100} and left == [101] and seen == [41] * 4
+
+
 def test_decontamination_of_a_large_benchmark(spark):
     """Many items of a common vocabulary: verbatim copies and paraphrases are found as by brute force."""
     rng = np.random.default_rng(11)
